@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellwise.llm import queries_algorithms
+from cellwise.llm import queries_algorithms, queries_texts
 
-QUERIES = {**queries_algorithms.QUERIES}
-ORACLES = {**queries_algorithms.ORACLES}
+QUERIES = {**queries_algorithms.QUERIES, **queries_texts.QUERIES}
+ORACLES = {**queries_algorithms.ORACLES, **queries_texts.ORACLES}
