@@ -1,10 +1,11 @@
-"""Queries on texts: p8 and p9."""
+"""Queries on texts: p7, p8 and p9."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwise.llm import leaks as L
 from cellwise.llm import mixing as M
 from cellwise.llm import page_text as P
 from cellwise.llm import text_quality as T
@@ -20,6 +21,20 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "heldout_items")
+    return L.leaked(_docs(spark, sf_dir), F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("passage"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item the number of pages that hold it and the most words of it on one page."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("most_words"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = M.token_counts(_docs(spark, sf_dir), {"source": F.col("source")}, F.col("text"))
     sizes = stage(M.source_sizes(counts), "sizes")
@@ -57,5 +72,5 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_mix, p8_shares, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_statistics)}
 ORACLES: dict[str, str] = {}
