@@ -1,4 +1,4 @@
-"""Queries on streams, filters and digests: p1, p2, p3."""
+"""Queries on streams, filters, digests and clusters: p1, p2, p3, p6."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.functions.keys import key_numbers, key_text
+from cellwise.llm import density as C
 from cellwise.llm import digests as D
 from cellwise.llm import heavy_hitters as H
 from cellwise.llm import seen_keys as S
 from cellwise.llm.histogram_check import wrong_histograms
-from cellwise.session import table
+from cellwise.session import stage, table
 
 UPDATE_SHARE, CELL_SHARE = 0.002, 0.01
 UPDATE_COUNTERS, CELL_COUNTERS = 4096, 512
@@ -111,6 +112,22 @@ def p3_percentiles_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.quantiles(D.merge(digests, ["feature"]), ["feature"], (0.25, 0.5, 0.75, 0.9, 0.99))
 
 
+NEAR, LEAST_MEMBERS = 0.02, 4
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = stage(valid_cells(spark, sf_dir).select("run_id", "cell_id", "vec"), "cells")
+    found = C.connected(cells, F.col("run_id"), F.col("cell_id"), F.col("vec"), NEAR, LEAST_MEMBERS)
+    return found.select("cluster_id", F.col("element").alias("cell_id"))
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most stable clusters of each run with their sizes and most typical elements."""
+    cells = stage(valid_cells(spark, sf_dir).select("run_id", "cell_id", "vec"), "cells")
+    found = C.stable_clusters(cells, F.col("run_id"), F.col("cell_id"), F.col("vec"), 0.05, 4, 8)
+    return found.select(F.col("run").cast("int").alias("run_id"), "cluster_id", "size", "stability", "exemplars")
+
+
 KEY_SQL = """
   SELECT update_id, cnt, CASE WHEN len(p) = 4 AND list_bool_and([x IS NOT NULL AND abs(x) < 1e300 FOR x IN v]) THEN v END AS nums
   FROM (SELECT *, [TRY_CAST(x AS DOUBLE) FOR x IN p] AS v FROM (SELECT *, string_split(translate(cell_key, '()[] ', ''), ',') AS p FROM sketch_updates))
@@ -151,6 +168,15 @@ c AS (SELECT hist_id, feature, batch_day, worker, q, min(x) AS c FROM h, (SELECT
 r AS (SELECT hist_id, q, avg(CASE WHEN v < c THEN 1.0::DOUBLE ELSE 0 END) AS a, avg(CASE WHEN v <= c THEN 1.0::DOUBLE ELSE 0 END) AS b FROM c JOIN v USING (feature, batch_day, worker) GROUP BY ALL)
 SELECT DISTINCT hist_id FROM r WHERE a > q + 0.10::DOUBLE OR b < q - 0.10::DOUBLE
 """
+P6_FOUND_SQL = f"""
+WITH RECURSIVE c AS MATERIALIZED ({VALID_SQL}),
+e AS MATERIALIZED (SELECT a.run_id, a.cell_id AS u, b.cell_id AS v FROM c a JOIN c b ON a.run_id = b.run_id AND len(a.vec) = len(b.vec)
+      AND abs(a.vec[1] - b.vec[1]) <= 0.02 AND list_distance(a.vec, b.vec) <= 0.02::DOUBLE),
+r(run_id, node, low) AS (SELECT run_id, u, min(v) FROM e GROUP BY 1, 2
+      UNION SELECT e.run_id, e.v, r.low FROM r JOIN e ON e.run_id = r.run_id AND e.u = r.node WHERE r.low < e.v),
+l AS (SELECT run_id, node, min(low) AS cluster_id FROM r GROUP BY 1, 2)
+SELECT cluster_id, node AS cell_id FROM (SELECT *, count(*) OVER (PARTITION BY run_id, cluster_id) AS n FROM l) WHERE n >= 4
+"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_updates, p1_bounds, p2_found, p2_error_report, p3_found, p3_percentiles, p3_percentiles_merged)}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p1_top_updates": P1_TOP_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_updates, p1_bounds, p2_found, p2_error_report, p3_found, p3_percentiles, p3_percentiles_merged, p6_found, p6_clusters)}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p1_top_updates": P1_TOP_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL}
