@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from cellwise.queries import general
+from cellwise.queries import core, general
 
-QUERIES = {**general.QUERIES}
-ORACLES = {**general.ORACLES}
+QUERIES = {**core.QUERIES, **general.QUERIES}
+ORACLES = {**core.ORACLES, **general.ORACLES}
