@@ -18,6 +18,7 @@ from cellwise.operators import kmeans as K
 from cellwise.operators import parzen as P
 from cellwise.operators import regression as R
 from cellwise.operators import topk as TK
+from cellwise.queries.general import P5_CTE
 from cellwise.sources import readers as IO
 from cellwise.session import stage, table
 
@@ -663,3 +664,64 @@ def sketch_windows(spark, sf):
     once = rows.groupBy("update_id").agg(F.first("sketch_id").alias("sketch_id"), F.first("update_ts").alias("update_ts"))
     out = windowed_counters(once, F.col("sketch_id").cast("string"), "update_ts", TAX_SIZING)
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# -- pipelines ------------------------------------------------------------------------------------------------------------------------------------
+
+TRIP_ETL_PART = r"""
+SELECT record_id, v[1] AS trip_id, TRY_CAST(v[5] AS BIGINT) AS taxi_id, v[2] AS call_type, TRY_CAST(v[6] AS BIGINT) AS trip_epoch,
+  CAST(make_timestamp(TRY_CAST(v[6] AS BIGINT) * 1000000) AS DATE) AS day, CAST(hour(make_timestamp(TRY_CAST(v[6] AS BIGINT) * 1000000)) AS INT) AS hour,
+  CAST(dayofweek(make_timestamp(TRY_CAST(v[6] AS BIGINT) * 1000000)) AS INT) AS weekday,
+  CAST(v[9] AS DOUBLE[][])[1][1] AS lon, CAST(v[9] AS DOUBLE[][])[1][2] AS lat, CAST(len(CAST(v[9] AS DOUBLE[][])) AS INT) AS num_measurements, len(CAST(v[9] AS DOUBLE[][])) * 15 / 60 AS minutes
+FROM q WHERE fmt = 'trip' AND reason = ''
+"""
+
+
+@query(P5_CTE + TRIP_ETL_PART)
+def trip_etl(spark, sf):
+    from cellwise.plans.pipelines import trip_etl as etl
+
+    rows = etl(table(spark, sf, "raw_records"), F.col("record"), F.col("fmt"), {"record_id": F.col("record_id")})
+    return rows.select("record_id", "trip_id", "taxi_id", "call_type", "trip_epoch", "day", "hour", "weekday", "lon", "lat", "num_measurements", "minutes")
+
+
+@query()
+def trip_distances(spark, sf):
+    from cellwise.plans.pipelines import trip_etl as etl
+
+    rows = etl(table(spark, sf, "raw_records"), F.col("record"), F.col("fmt"), {"record_id": F.col("record_id")})
+    return rows.select("record_id", F.round("meters", 2).alias("meters"), F.round("kmh", 4).alias("kmh"))
+
+
+SWEEP_SQL = " UNION ALL ".join(
+    f"""SELECT {d}::DOUBLE AS delta, {e}::DOUBLE AS epsilon, {s.depth} AS depth, {s.width} AS width, count(*) AS n_keys, CAST(sum(real) AS BIGINT) AS total, CAST(sum(cnt) AS BIGINT) AS estimated_total,
+  max(cnt - real) AS max_error, count(*) FILTER (cnt > real) AS n_over, count(*) FILTER (cnt < real) AS n_under, count(*) FILTER (cnt - real > 2.0::DOUBLE * (SELECT sum(real) FROM rk) / {s.width}) AS n_beyond_bound
+  FROM ({estimates_sql("SELECT * FROM rk", f'SELECT "row", col, CAST(sum(real) AS BIGINT) AS cnt FROM ({hash_sql("SELECT * FROM rk", s, "real")}) GROUP BY 1, 2', s, "real")})"""
+    for d in (0.5, 0.1)
+    for e in (0.05, 0.005)
+    for s in [C.Sizing.of(d, e)]
+)
+
+
+@query(f"WITH rk AS MATERIALIZED ({KEYS_SQL.replace('AS cnt', 'AS real')}) " + SWEEP_SQL)
+def sketch_error_sweep(spark, sf):
+    from cellwise.plans.pipelines import Sweep
+    from cellwise.plans.pipelines import sketch_error_sweep as sweep
+
+    return sweep(table(spark, sf, "events"), event_key(), Sweep((0.5, 0.1), (0.05, 0.005)))
+
+
+@query()
+def linear_gd_products(spark, sf):
+    from cellwise.plans.pipelines import RegressionConfig, sketched_moments
+
+    rows = table(spark, sf, "lineitem").select((F.col("l_extendedprice") / 100000).alias("y"), (F.col("l_quantity") / 50).alias("x"))
+    return sketched_moments(rows, RegressionConfig("y", ["x"], precision=3, epsilon=0.0001, steps=20, start=[0.9, 0.9])).frame(spark)
+
+
+@query()
+def kmeans_sketch_3d(spark, sf):
+    from cellwise.plans.pipelines import HEAVY_HITTERS, KMeansConfig, sketched_kmeans
+
+    e = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
+    return K.frame(spark, sketched_kmeans(e, KMeansConfig(["x0", "x1", "x2"], 3, 3, precision=1), HEAVY_HITTERS))
