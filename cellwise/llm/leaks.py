@@ -372,9 +372,28 @@ def _clear(misread: list[bool]) -> int:
     return 0
 
 
+def token_lines(text: str) -> list[list[str]]:
+    """Raw tokens of each line. Consecutive lines too short for a pattern are taken as one line, so that one word a line is searched as well."""
+    out: list[list[str]] = []
+    short = False
+    for line in lines_of(text):
+        tokens = line.split()
+        if not tokens:
+            continue
+        if len(tokens) < len(_PATTERNS[0]):
+            if short:
+                out[-1] += tokens
+                continue
+            short = True
+        else:
+            short = False
+        out.append(tokens)
+    return out
+
+
 def search(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) -> list[tuple[int, int, int]]:
     """(text number, item number, consecutive words) of every leak."""
-    pages = [[line.split() for line in lines_of(t)] if t else [] for t in texts]
+    pages = [token_lines(t) if t else [] for t in texts]
     out = []
     for (p, i), tiles in candidates(index, pages, ids).items():
         run = longest_run(pages[p], index.passages[i], tiles, match)

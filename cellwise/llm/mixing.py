@@ -236,6 +236,8 @@ def slots(spark, planned: pd.DataFrame, seed: int, size: int = SHARD_BLOCKS) ->
                     for e in np.unique(epoch[rows]):
                         at = rows[epoch[rows] == e]
                         block[at] = permute(k[at] % blocks[i], blocks[i], seed + 1_000_003 * int(i) + int(e))
+                if not len(k):
+                    continue
                 slot = np.random.default_rng([seed, shard]).permutation(len(k))
                 yield pd.DataFrame({"shard": shard, "slot": slot.astype("int32"), "source": [names[i] for i in who], "epoch": epoch.astype("int32"), "block": block})
 
