@@ -14,7 +14,7 @@ from cellwise.session import stage, table
 #: Pages are looked at line by line if an outlier score is at least this; a page of average ranks has about 1 a statistic.
 OUTLIER_SCORE = 5.0
 #: A page whose share of running lines, as measured, is below this is not running prose.
-RUNNING_SHARE = 0.31
+RUNNING_SHARE = 0.30
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
