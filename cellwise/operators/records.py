@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.session import spread
+
 QUOTING, COLUMNS, VALUE, FORMAT = "quoting", "columns", "value", "format"
 
 _NUMBER = r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
@@ -253,7 +255,7 @@ def parse_records(df: DataFrame, record: Column, fmt: Column, keep: dict[str, Co
                 at = pa.array(np.flatnonzero(left))
                 yield _out(batch, at, np.full(len(at), FORMAT, dtype=object), {}, fields)
 
-    parsed = source.mapInArrow(parse, schema)
+    parsed = spread(source).mapInArrow(parse, schema)
     named = [F.col(c).alias(n) for c, n in zip(renamed, keep, strict=True)]
     return parsed.select(*named, F.col("_fmt").alias("fmt"), F.col("_reason").alias("reason"), *fields)
 

@@ -68,3 +68,12 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer.parquet(path)
     _drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, dealt out to all cores if it has fewer partitions than there are cores (one small file is one partition).
+
+    For costly Python steps over few, small files; a scan with enough partitions is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
