@@ -23,7 +23,7 @@ TILE_POINTS = 1_500
 #: Side of a coarse cell and least side of a tile, in search radii.
 COARSE, LEAST = 16, 1.0
 #: With at most this many edges left between components, one task finishes the forest (24 bytes an edge); before, Boruvka rounds do.
-FINISH_EDGES = 20_000
+FINISH_EDGES = 200_000
 _EDGE = "run bigint, u bigint, v bigint, w double"
 
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.session import spread
+
 #: Consecutive passage words that make a leak, and the share of them that may be misread.
 MIN_WORDS, MISREAD = 15, 0.25
 #: Lines that may stand between a line of the passage and the next one (lines of other columns, adverts, tables).
@@ -409,7 +411,7 @@ def leaked(pages: DataFrame, doc_id: Column, text: Column, items: DataFrame, ite
     than MIN_WORDS leak nothing; a page that is listed twice is reported twice. Narrow: no shuffle; texts are read whole, a batch at a time.
     """
     rows = [(r[0], r[1]) for r in items.select(item_id.alias("i"), passage.cast("string").alias("p")).orderBy("i").toLocalIterator()]
-    source = pages.select(doc_id.alias("doc_id"), text.cast("string").alias("_text"))
+    source = spread(pages.select(doc_id.alias("doc_id"), text.cast("string").alias("_text")))
     kind = source.schema["doc_id"].dataType.simpleString()
     kind_i = items.select(item_id.alias("i")).schema["i"].dataType.simpleString()
     found = None

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwise.session import stage
+from cellwise.session import spread, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 512
@@ -58,7 +58,7 @@ def token_counts(docs: DataFrame, keep: dict[str, Column], text: Column, path: s
             sizes = [len(t) for t in coder.encode_ordinary_batch([t or "" for t in batch.column("_text").to_pylist()], num_threads=1)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sizes, pa.int64())], names=[*names, "n_tokens"])
 
-    return source.mapInArrow(count, schema + ", n_tokens bigint")
+    return spread(source).mapInArrow(count, schema + ", n_tokens bigint")
 
 
 def source_sizes(counts: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, doc_id: Column, source: Column, text: Column, path: st
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["source", "pid", "at", "n", "tokens"])
 
-    coded = stage(base.mapInArrow(encode, "source string, pid int, at bigint, n bigint, tokens binary"), "tokens")
+    coded = stage(spread(base).mapInArrow(encode, "source string, pid int, at bigint, n bigint, tokens binary"), "tokens")
     parts = coded.groupBy("source", "pid").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("pid"))
     offsets = stage(parts.select(F.col("source").alias("_s"), F.col("pid").alias("_p"), (upto - F.col("n")).alias("offset")), "token-offsets")
