@@ -77,3 +77,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def python_partitions(spark: SparkSession) -> int:
+    """Partitions for costly Python steps over compact rows, which adaptive execution would else put in a few tasks for being small in bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
