@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.session import stage
+from cellwise.session import python_partitions, stage
 
 #: Points a tile should hold; a coarse cell with more is halved in every dimension until its tiles should hold this many.
-TILE_POINTS = 1_500
+TILE_POINTS = 700
 #: Side of a coarse cell and least side of a tile, in search radii.
 COARSE, LEAST = 16, 1.0
 #: With at most this many edges left between components, one task finishes the forest (24 bytes an edge); before, Boruvka rounds do.
@@ -133,7 +133,8 @@ def core_distances(points: DataFrame, radius: float, min_samples: int) -> DataFr
             out.append(pd.DataFrame({"node": part["node"].to_numpy()[own[good]], "core": found[good]}))
         return pd.concat(out)
 
-    return tiles(points, radius).groupBy("run", "tile").applyInPandas(cores, "node bigint, core double")
+    n = python_partitions(points.sparkSession)
+    return tiles(points, radius).repartition(n, "run", "tile").groupBy("run", "tile").applyInPandas(cores, "node bigint, core double")
 
 
 def _tile_forest(radius: float):
@@ -246,11 +247,12 @@ def _relabel(labels: DataFrame, roots: DataFrame) -> DataFrame:
 def spanning_forest(elements: DataFrame, run: Column, element: Column, vec: Column, radius: float, min_samples: int = 1, finish_edges: int = FINISH_EDGES) -> Forest:
     """Mutual-reachability spanning forest within ``radius``. With ``min_samples`` 1 distances are plain ones."""
     nodes = make_nodes(elements, run, element, vec)
-    points = nodes.select("run", "node", "x", "mult", F.lit(0.0).alias("core"))
+    n = python_partitions(nodes.sparkSession)
+    points = nodes.select("run", "node", "x", "mult", F.lit(0.0).alias("core")).repartition(n, "node")
     if min_samples > 1:
         cores = stage(core_distances(points, radius, min_samples), "cores")
         points = points.drop("core").join(cores, "node").select("run", "node", "x", "mult", "core")
-    local = tiles(points, radius).groupBy("run", "tile").applyInPandas(_tile_forest(radius), _EDGE)
+    local = tiles(points, radius).repartition(n, "run", "tile").groupBy("run", "tile").applyInPandas(_tile_forest(radius), _EDGE)
     edges, labels = boruvka(local.where(F.col("w") <= radius), finish_edges)
     return Forest(nodes, edges, labels)
 
