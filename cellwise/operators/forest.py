@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import gini, split_quality
 from cellwise.operators import bloom as B
-from cellwise.session import stage
+from cellwise.session import broadcast_if_small, stage
 
 NODE_SCHEMA = "tree int, node bigint, feature int, split double, label int, bag_size bigint"
 
@@ -21,8 +21,8 @@ def unpivot(samples: DataFrame) -> DataFrame:
 
 
 def sample_splits(samples: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(sample, label, feature, value, candidate): every value with every candidate of its feature; ``candidates`` (feature, candidates) is small."""
-    return unpivot(samples).join(F.broadcast(candidates), "feature").select("sample", "label", "feature", "value", F.explode("candidates").alias("candidate"))
+    """(sample, label, feature, value, candidate): every value with every candidate of its feature; ``candidates`` (feature, candidates) is broadcast if small."""
+    return unpivot(samples).join(broadcast_if_small(candidates), "feature").select("sample", "label", "feature", "value", F.explode("candidates").alias("candidate"))
 
 
 def _split_key(feature: str = "feature", candidate: str = "candidate") -> Column:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "cellwise", partitions: int = 8) -> SparkSession:
@@ -82,3 +83,8 @@ def spread(df: DataFrame) -> DataFrame:
 def python_partitions(spark: SparkSession) -> int:
     """Partitions for costly Python steps over compact rows, which adaptive execution would else put in a few tasks for being small in bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else without."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
