@@ -34,6 +34,8 @@ _EDGES = ".,;:!?\"'()[]{}*-¬~=_«»„“”‚‘’|<>/\\^`+"
 _GAP = re.compile(r" \| |\s{3,}")
 _LINE, _NONE = -2, -1
 _CACHE = 400_000
+#: Words that are searched for seeds at once, which bounds memory; longer pages are cut at lines, longer lines at words, with overlaps that no tile or link exceeds.
+BATCH_WORDS, PIECE_WORDS, PIECE_OVERLAP = 30_000, 4_000, 64
 
 
 def clean(token: str) -> str:
@@ -119,7 +121,30 @@ class _Ids(dict):
         return found
 
 
-def candidates(index: Index, pages: list[list[list[str]]], ids: _Ids) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+Piece = tuple[int, int, int, list[str]]  # page, line, words of the line before it, words
+
+
+def pieces(pages: list[list[list[str]]]) -> Iterator[list[Piece]]:
+    """The lines of all pages in batches of about BATCH_WORDS words. A page that goes on in the next batch repeats its last LINE_GAP lines there."""
+    batch: list[Piece] = []
+    size = 0
+    for p, lines in enumerate(pages):
+        for k, tokens in enumerate(lines):
+            for a in range(0, max(1, len(tokens) - PIECE_OVERLAP), PIECE_WORDS - PIECE_OVERLAP):
+                part = tokens if len(tokens) <= PIECE_WORDS else tokens[a : a + PIECE_WORDS]
+                if size and size + len(part) > BATCH_WORDS:
+                    yield batch
+                    batch = [x for x in batch if x[0] == p and x[1] >= k - LINE_GAP and x[1] < k and len(x[3]) < PIECE_WORDS]
+                    size = 0
+                batch.append((p, k, a, part))
+                size += len(part)
+                if part is tokens:
+                    break
+    if batch:
+        yield batch
+
+
+def candidates(index: Index, batch: list[Piece], ids: _Ids) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
     """Tiles (line, word in line, word in passage, length) from which a leak may be grown, of every (page, item) that has any.
 
     A leak has at least MIN_WORDS words of which MISREAD may be misread, so it fills most of a long line or goes on over a line end, and its tiles
@@ -129,14 +154,15 @@ def candidates(index: Index, pages: list[list[list[str]]], ids: _Ids) -> dict[tu
     starts: list[int] = []  # of lines
     page_of_line: list[int] = []
     line_in_page: list[int] = []
-    for p, lines in enumerate(pages):
-        for k, tokens in enumerate(lines):
-            if len(tokens) > 2:
-                starts.append(len(flat))
-                page_of_line.append(p)
-                line_in_page.append(k)
-                flat += [ids[t] for t in tokens]
-                flat.append(_LINE)
+    word_in_line: list[int] = []
+    for p, k, a, tokens in batch:
+        if len(tokens) > 2:
+            starts.append(len(flat))
+            page_of_line.append(p)
+            line_in_page.append(k)
+            word_in_line.append(a)
+            flat += [ids[t] for t in tokens]
+            flat.append(_LINE)
     w = np.array([*flat, _LINE, _LINE, _LINE], np.int64)
     at, item, place, span = [], [], [], []
     size = max(1, len(index.vocabulary))
@@ -170,7 +196,7 @@ def candidates(index: Index, pages: list[list[list[str]]], ids: _Ids) -> dict[tu
     line = np.searchsorted(begin, at, "right") - 1
     page = np.array(page_of_line)[line]
     # a tile: seeds of one (page, item, line, diagonal)
-    diagonal = place - (at - begin[line]) + 4096
+    diagonal = place - (at - begin[line]) + 8192
     pair = page * len(index.ids) + item
     code = (line * len(index.ids) + item) * (1 << 16) + np.clip(diagonal, 0, (1 << 16) - 1)
     order = np.lexsort((place, code))
@@ -199,6 +225,7 @@ def candidates(index: Index, pages: list[list[list[str]]], ids: _Ids) -> dict[tu
     out: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
     kept = np.unique(np.concatenate((left[linked], np.flatnonzero(length >= LONG_TILE))))
     rows = where[kept]
+    word = word + np.array(word_in_line)[line]
     for p, k, x, q, n in zip(pair[kept].tolist(), rows.tolist(), word[kept].tolist(), begin_q[kept].tolist(), length[kept].tolist(), strict=True):
         out.setdefault((p // len(index.ids), p % len(index.ids)), []).append((k, x, q, n))
     return out
@@ -396,12 +423,13 @@ def token_lines(text: str) -> list[list[str]]:
 def search(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) -> list[tuple[int, int, int]]:
     """(text number, item number, consecutive words) of every leak."""
     pages = [token_lines(t) if t else [] for t in texts]
-    out = []
-    for (p, i), tiles in candidates(index, pages, ids).items():
-        run = longest_run(pages[p], index.passages[i], tiles, match)
-        if run >= MIN_WORDS:
-            out.append((p, i, run))
-    return out
+    best: dict[tuple[int, int], int] = {}
+    for batch in pieces(pages):
+        for (p, i), tiles in candidates(index, batch, ids).items():
+            run = longest_run(pages[p], index.passages[i], tiles, match)
+            if run >= max(MIN_WORDS, best.get((p, i), 0)):
+                best[p, i] = run
+    return [(p, i, n) for (p, i), n in best.items()]
 
 
 def leaked(pages: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, passage: Column) -> DataFrame:

@@ -96,6 +96,22 @@ def test_whole_and_odd_texts():
     assert L.search(L.Index.build([]), texts, L._Ids({}), L.Matcher(L.Index.build([]))) == []
 
 
+def test_long_pages_are_cut_without_loss(monkeypatch):
+    rng = random.Random(8)
+    items, others = passages(6, rng), passages(30, rng)
+    index = L.Index.build(list(enumerate(items)))
+    lines = [line for o in others * 3 for line in as_lines(o.split(), 40, rng)]
+    page = "\n".join(lines[:200] + as_lines(items[2].split(), 40, rng) + lines[200:400] + [" ".join(others * 5 + [items[4]] + others * 5)])
+    wanted = found(index, [page])
+    assert set(wanted) == {(0, 2), (0, 4)}
+    for size in (40, 60, 100):
+        monkeypatch.setattr(L, "BATCH_WORDS", size * 3)
+        monkeypatch.setattr(L, "PIECE_WORDS", size + 90)
+        assert found(index, [page, page]) == {(p, i): n for (_, i), n in wanted.items() for p in (0, 1)}
+    again = "\n".join([items[0][:60]] * 20_000)
+    assert found(index, [again]) == {}
+
+
 def test_leaks_in_frames(spark, monkeypatch):
     rng = random.Random(7)
     items = passages(5, rng)
