@@ -605,10 +605,15 @@ def gini_by_split(spark, sf):
     return RF.node_quality(split_counts(spark, sf), 10).select("feature", "candidate", "left", "right", F.round("quality", 9).alias("quality"))
 
 
-@query()
+LEGACY_SQL = GINI_SQL[: GINI_SQL.index("SELECT feature, candidate, CAST(any_value(lt)")] + """
+  SELECT feature, candidate, CAST(any_value(lt) AS BIGINT) AS "left", CAST(any_value(rt) AS BIGINT) AS "right",
+    round(0.5::DOUBLE * (1 - sum((l / (lt + rt)) ** 2)) - 0.5::DOUBLE * (1 - sum((r / (lt + rt)) ** 2)), 9) AS quality FROM c JOIN t USING (feature, candidate) GROUP BY 1, 2"""
+
+
+@query(LEGACY_SQL)
 def split_quality_legacy(spark, sf):
     """The quality from shares of the node total."""
-    return RF.node_quality(split_counts(spark, sf), 10, corrected=False)
+    return RF.node_quality(split_counts(spark, sf), 10, corrected=False).select("feature", "candidate", "left", "right", F.round("quality", 9).alias("quality"))
 
 
 @query()
@@ -685,7 +690,12 @@ def trip_etl(spark, sf):
     return rows.select("record_id", "trip_id", "taxi_id", "call_type", "trip_epoch", "day", "hour", "weekday", "lon", "lat", "num_measurements", "minutes")
 
 
-@query()
+_LEG = HAVERSINE_SQL.replace("h)", "(" + H_SQL.format(a="p[i][2]", b="p[i + 1][2]", c="p[i][1]", d="p[i + 1][1]") + "))").replace("- h,", "- (" + H_SQL.format(a="p[i][2]", b="p[i + 1][2]", c="p[i][1]", d="p[i + 1][1]") + "),")
+
+
+@query(P5_CTE + f""", p AS (SELECT record_id, CAST(v[9] AS DOUBLE[][]) AS p FROM q WHERE fmt = 'trip' AND reason = ''),
+  m AS (SELECT record_id, len(p) AS n, coalesce(list_sum([{_LEG} FOR i IN range(1, len(p))]), 0) AS meters FROM p)
+  SELECT record_id, round(meters, 2) AS meters, CASE WHEN n > 0 THEN round((meters / 1000) / ((n * 15 / 60) / 60), 4) END AS kmh FROM m""")
 def trip_distances(spark, sf):
     from cellwise.plans.pipelines import trip_etl as etl
 
