@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cellwise.llm import peel
 from cellwise.session import stage
 
-SHARD_KEYS = 250_000
+SHARD_KEYS = 60_000
 _FILTERS = "shard int, level int, block bigint, seed int, segment bigint, n_keys bigint, prints binary"
 
 
