@@ -138,9 +138,12 @@ def core_distances(points: DataFrame, radius: float, min_samples: int) -> DataFr
 
 
 def _tile_forest(radius: float):
+    """Prim's forest of a tile by the order of all tiles (w, smaller node, larger node), so that an edge of the whole forest is in the forest of every tile
+    that holds both ends, and a tile may leave those without a home end to others."""
+
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for part, x in _dims(pdf):
+        for part, x in _dims(pdf.sort_values("node")):
             n, core, home, node = len(part), part["core"].to_numpy(), part["home"].to_numpy(), part["node"].to_numpy()
             if not home.any():
                 continue
@@ -157,10 +160,14 @@ def _tile_forest(radius: float):
                 gap = x - x[:, i : i + 1]
                 d = np.sqrt((gap * gap).sum(axis=0))
                 w = np.maximum(np.maximum(d, core[i]), core)
-                nearer = left & (d <= radius) & (w < best)
+                nearer = left & (d <= radius) & ((w < best) | ((w == best) & (i < to)))
                 best[nearer], to[nearer] = w[nearer], i
                 i = int(np.argmin(best))
-                if not np.isfinite(best[i]):
+                if np.isfinite(best[i]):
+                    equal = np.flatnonzero(best == best[i])
+                    if len(equal) > 1:
+                        i = int(equal[np.lexsort((np.maximum(equal, to[equal]), np.minimum(equal, to[equal])))[0]])
+                else:
                     rest = np.flatnonzero(left)
                     if not len(rest):
                         break

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,39 @@ def test_connected_clusters(spark, monkeypatch, finish, tile):
     assert C.connected(df.limit(0), F.col("run"), F.col("e"), F.col("x"), 0.05, 4).count() == 0
 
 
+def test_tiles_break_ties_alike():
+    """Points of a lattice, whose distances tie: the forests of tiles with rows in any order join what all near pairs join."""
+    rng = np.random.default_rng(12)
+    radius, side = 0.02, 0.04
+    cells = np.argwhere(rng.random((60, 60)) < 0.6)
+    x, node = cells / 64, rng.permutation(len(cells))
+    at = {tuple(c): i for c, i in zip(cells.tolist(), node.tolist(), strict=True)}
+    pairs = [(i, at[n]) for (a, b), i in at.items() for n in ((a + 1, b), (a, b + 1)) if n in at]
+    low, high = np.floor((x - radius) / side).astype(int), np.floor((x + radius) / side).astype(int)
+    edges = []
+    for tile in {(a, b) for (a, b) in np.floor(x / side).astype(int).tolist()}:
+        inside = rng.permutation(np.flatnonzero(((low <= tile) & (tile <= high)).all(axis=1)))
+        home = (np.floor(x[inside] / side).astype(int) == tile).all(axis=1)
+        rows = {"run": 1, "node": node[inside], "x": list(x[inside]), "mult": 1, "core": 0.0, "tile": 0, "home": home}
+        got = C._tile_forest(radius)(pd.DataFrame(rows))
+        edges += list(zip(got["u"].tolist(), got["v"].tolist(), strict=True))
+
+    def components(links):
+        top = list(range(len(node)))
+
+        def find(a):
+            while top[a] != a:
+                top[a] = top[top[a]]
+                a = top[a]
+            return a
+
+        for u, v in links:
+            top[find(u)] = find(v)
+        return len({find(i) for i in range(len(node))})
+
+    assert components(edges) == components(pairs)
+
+
 def brute_forest(points, core, radius):
     edges = sorted((max(math.dist(a, b), core[i], core[j]), i, j) for i, a in enumerate(points) for j, b in enumerate(points[:i]))
     top, out = list(range(len(points))), []
