@@ -10,6 +10,8 @@ then the next longest unmarked tile follows. A page leaks a passage if one tile
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -22,8 +24,6 @@ from cellwise.session import spread
 
 #: Consecutive passage words that make a leak, and the share of them that may be misread.
 MIN_WORDS, MISREAD = 15, 0.25
-#: Lines that may stand between a line of the passage and the next one (lines of other columns, adverts, tables).
-LINE_GAP = 12
 #: Seeds of a leak: a tile of LONG_TILE words in a line, or two tiles that span MIN_COVER passage words over a line end, each at most EDGE words
 #: (misread or cut) away from it.
 LONG_TILE, MIN_COVER, EDGE = 11, 8, 2
@@ -125,7 +125,7 @@ Piece = tuple[int, int, int, list[str]]  # page, line, words of the line before
 
 
 def pieces(pages: list[list[list[str]]]) -> Iterator[list[Piece]]:
-    """The lines of all pages in batches of about BATCH_WORDS words. A page that goes on in the next batch repeats its last LINE_GAP lines there."""
+    """The lines of all pages in batches of about BATCH_WORDS words. A page may go on in the next batch; its tiles are linked when all are there."""
     batch: list[Piece] = []
     size = 0
     for p, lines in enumerate(pages):
@@ -134,8 +134,7 @@ def pieces(pages: list[list[list[str]]]) -> Iterator[list[Piece]]:
                 part = tokens if len(tokens) <= PIECE_WORDS else tokens[a : a + PIECE_WORDS]
                 if size and size + len(part) > BATCH_WORDS:
                     yield batch
-                    batch = [x for x in batch if x[0] == p and x[1] >= k - LINE_GAP and x[1] < k and len(x[3]) < PIECE_WORDS]
-                    size = 0
+                    batch, size = [], 0
                 batch.append((p, k, a, part))
                 size += len(part)
                 if part is tokens:
@@ -144,12 +143,29 @@ def pieces(pages: list[list[list[str]]]) -> Iterator[list[Piece]]:
         yield batch
 
 
-def candidates(index: Index, batch: list[Piece], ids: _Ids) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
-    """Tiles (line, word in line, word in passage, length) from which a leak may be grown, of every (page, item) that has any.
+@dataclass
+class Tiles:
+    """Tiles of a page line and a passage: words ``word``.. of line ``line`` are the passage's from ``place`` on, ``length`` of them."""
 
-    A leak has at least MIN_WORDS words of which MISREAD may be misread, so it fills most of a long line or goes on over a line end, and its tiles
-    show that.
-    """
+    page: np.ndarray
+    item: np.ndarray
+    line: np.ndarray
+    word: np.ndarray
+    place: np.ndarray
+    length: np.ndarray
+    opens: np.ndarray  # at the start of its line
+    ends: np.ndarray  # at the end of its line
+
+    def where(self, rows: np.ndarray) -> Tiles:
+        return Tiles(*[x[rows] for x in vars(self).values()])
+
+    @staticmethod
+    def together(parts: list[Tiles]) -> Tiles:
+        return Tiles(*[np.concatenate(x) for x in zip(*[vars(t).values() for t in parts], strict=True)])
+
+
+def tiles_of(index: Index, batch: list[Piece], ids: _Ids) -> Tiles | None:
+    """All tiles of a batch, if any."""
     flat: list[int] = []
     starts: list[int] = []  # of lines
     page_of_line: list[int] = []
@@ -190,44 +206,50 @@ def candidates(index: Index, batch: list[Piece], ids: _Ids) -> dict[tuple[int, i
         place.append(index.places[j][occurrence])
         span.append(np.full(len(occurrence), pattern[2] + 1))
     if not at or not sum(map(len, at)):
-        return {}
+        return None
     at, item, place, span = (np.concatenate(x) for x in (at, item, place, span))
     begin = np.array(starts)
     line = np.searchsorted(begin, at, "right") - 1
     page = np.array(page_of_line)[line]
     # a tile: seeds of one (page, item, line, diagonal)
     diagonal = place - (at - begin[line]) + 8192
-    pair = page * len(index.ids) + item
     code = (line * len(index.ids) + item) * (1 << 16) + np.clip(diagonal, 0, (1 << 16) - 1)
     order = np.lexsort((place, code))
-    code, place, span, at, line, pair = code[order], place[order], span[order], at[order], line[order], pair[order]
+    code, place, span, at, line, page, item = code[order], place[order], span[order], at[order], line[order], page[order], item[order]
     head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    begin_q = place[head]
-    end_q = np.maximum.reduceat(place + span, head)
-    length = end_q - begin_q
-    pair, line, word = pair[head], line[head], (at - begin[line])[head]
-    order = np.lexsort((begin_q, pair))
-    pair, line, word, begin_q, length = pair[order], line[order], word[order], begin_q[order], length[order]
-    # links: a tile near the end of its line, then one near the start of a later line that goes on in the passage
+    length = np.maximum.reduceat(place + span, head) - place[head]
+    line, word = line[head], (at - begin[line])[head]
     words = np.diff(np.append(begin, len(flat)))[line] - 1
-    where = np.array(line_in_page)[line]
-    ends, opens = words - (word + length) <= EDGE, word <= EDGE
-    end_q = begin_q + length
-    key = pair * 8192 + np.minimum(begin_q, 8000)
-    wide = np.where(ends, 2 * EDGE + 2, -2)
-    first = np.searchsorted(key, pair * 8192 + np.maximum(np.minimum(end_q, 8000) - 1, 0), "left")
-    count = np.maximum(np.searchsorted(key, pair * 8192 + np.minimum(end_q, 8000) + wide, "right") - first, 0)
-    left = np.repeat(np.arange(len(key)), count)
-    right = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    step = where[right] - where[left]
-    linked = opens[right] & (step >= 1) & (step <= LINE_GAP) & (end_q[right] - begin_q[left] >= MIN_COVER)
-    linked &= length[left] + length[right] >= MIN_COVER - 1
+    where, offset = np.array(line_in_page)[line], np.array(word_in_line)[line]
+    return Tiles(page[head], item[head], where, word + offset, place[head], length, word <= EDGE, words - (word + length) <= EDGE)
+
+
+def candidates(index: Index, tiles: Tiles) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+    """Tiles (line, word in line, word in passage, length) from which a leak may be grown, of every (page, item) that has any, from all tiles of the pages.
+
+    A leak has at least MIN_WORDS words of which MISREAD may be misread, so it fills most of a long line or goes on over a line end, and its tiles
+    show that. A tile near the end of its line is linked to any later line of the page that opens with a tile that goes on in the passage.
+    """
+    pair = tiles.page * len(index.ids) + tiles.item
+    size = max(map(len, index.passages), default=0) + 2 * EDGE + 4
+    # the last line of a page on which a tile of at least so many words opens at a place of the passage; links ask for MIN_COVER words at most
+    open_ = np.flatnonzero(tiles.opens)
+    keys, row = np.unique(pair[open_] * size + tiles.place[open_], return_inverse=True)
+    last = np.full((len(keys), MIN_COVER + 1), -1, np.int64)
+    np.maximum.at(last, (row, np.minimum(tiles.length[open_], MIN_COVER)), tiles.line[open_])
+    last = np.maximum.accumulate(last[:, ::-1], axis=1)[:, ::-1]
+    left = np.flatnonzero(tiles.ends)
+    linked = np.zeros(len(pair), bool)
+    for o in range(-1, 2 * EDGE + 3) if len(keys) else ():
+        goes_on = tiles.place[left] + tiles.length[left] + o
+        key = pair[left] * size + goes_on
+        spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        least = np.clip(np.maximum(tiles.place[left] + MIN_COVER - goes_on, MIN_COVER - 1 - tiles.length[left]), 0, MIN_COVER)
+        linked[left] |= (keys[spot] == key) & (last[spot, least] > tiles.line[left])
     out: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-    kept = np.unique(np.concatenate((left[linked], np.flatnonzero(length >= LONG_TILE))))
-    rows = where[kept]
-    word = word + np.array(word_in_line)[line]
-    for p, k, x, q, n in zip(pair[kept].tolist(), rows.tolist(), word[kept].tolist(), begin_q[kept].tolist(), length[kept].tolist(), strict=True):
-        out.setdefault((p // len(index.ids), p % len(index.ids)), []).append((k, x, q, n))
+    t = tiles.where(np.flatnonzero(linked | (tiles.length >= LONG_TILE)))
+    for p, i, k, x, q, n in zip(*[c.tolist() for c in (t.page, t.item, t.line, t.word, t.place, t.length)], strict=True):
+        out.setdefault((p, i), []).append((k, x, q, n))
     return out
 
 
@@ -268,18 +290,50 @@ class Matcher:
         return got
 
 
-def longest_run(lines: list[list[str]], passage: list[str], tiles: list[tuple[int, int, int, int]], match: Matcher) -> int:
-    """The most consecutive passage words that one extended tile covers, of which at most MISREAD are misread."""
-    cleaned: dict[int, list[str]] = {}
+class Page:
+    """The cleaned lines of a page, and which of them open or close with a word."""
 
-    def line(k: int) -> list[str]:
-        found = cleaned.get(k)
-        if found is None:
-            found = cleaned[k] = [w for w in map(clean, lines[k]) if w]
-        return found
+    def __init__(self, lines: list[list[str]]) -> None:
+        self.lines = [[w for w in map(clean, line) if w] for line in lines]
+        self.heads: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        self.tails: dict[str, list[int]] = defaultdict(list)
+        for k, ws in enumerate(self.lines):
+            if ws:
+                self.heads[tuple(ws[:2])].append(k)
+                self.tails[ws[-1]].append(k)
+
+
+State = tuple[int, str | None]  # next word of the passage, and the part of it that the line before holds
+
+
+@dataclass
+class Run:
+    """Words of one line that go on in the passage: ``how`` they match, ``words`` of the line, the state after them if the line is at its end, and the
+    best rest of the way with its sums."""
+
+    line: int
+    how: dict[int, int]
+    words: range
+    state: State | None
+    rest: Run | None = None
+    exact: int = 0
+    misread: int = 0
 
-    def step(ws: list[str], i: int, j: int) -> tuple[int, int, int]:
+    def value(self) -> tuple[float, int]:
+        return self.exact + min(self.misread, self.exact * MISREAD / (1 - MISREAD)), -self.misread
+
+
+class Way:
+    """The best way on in the passage from the end of a line over any later lines of the page (or from its start over earlier ones), a table a state."""
+
+    def __init__(self, page: Page, passage: list[str], match: Matcher, forward: bool) -> None:
+        self.page, self.passage, self.match, self.forward = page, passage, match, forward
+        self.runs: dict[State, list[Run]] = {}
+        self.best: dict[State, tuple[list[int], list[Run]]] = {}
+
+    def step(self, ws: Sequence[str], i: int, j: int) -> tuple[int, int, int]:
         """Words of the page and of the passage that match at (i, j), and how."""
+        match, passage = self.match, self.passage
         m = match(ws[i], passage[j])
         if m:
             return 1, 1, m
@@ -289,9 +343,9 @@ def longest_run(lines: list[list[str]], passage: list[str], tiles: list[tuple[in
             return 2, 1, 2
         return 0, 0, 0
 
-    def run_on(ws: list[str], i: int, j: int, how: dict[int, int]) -> tuple[int, int]:
-        while i < len(ws) and j < len(passage):
-            a, b, m = step(ws, i, j)
+    def run_on(self, ws: list[str], i: int, j: int, how: dict[int, int]) -> tuple[int, int]:
+        while i < len(ws) and j < len(self.passage):
+            a, b, m = self.step(ws, i, j)
             if not a:
                 break
             for x in range(j, j + b):
@@ -299,10 +353,89 @@ def longest_run(lines: list[list[str]], passage: list[str], tiles: list[tuple[in
             i, j = i + a, j + b
         return i, j
 
+    def run_back(self, ws: list[str], i: int, j: int, how: dict[int, int]) -> tuple[int, int]:
+        while i >= 0 and j >= 0:
+            m = self.match(ws[i], self.passage[j])
+            if not m:
+                break
+            how[j] = m
+            i, j = i - 1, j - 1
+        return i, j
+
+    def after(self, ws: list[str], i: int, j: int) -> State | None:
+        """The state behind (before) the words of a line, if it is at its end (start): its last (first) word may be a part of the next one."""
+        if not 0 <= j < len(self.passage):
+            return None
+        edge = len(ws) - 1 if self.forward else 0
+        if i == edge and (not self.forward or len(ws[i]) < len(self.passage[j])):
+            return j, ws[i]
+        return None if 0 <= i < len(ws) else (j, None)
+
+    def lines(self, state: State) -> list[int]:
+        j, cut = state
+        wanted = self.passage[j]
+        if self.forward:
+            good = [ns for head, ns in self.page.heads.items() if (self.step(head, 0, j)[0] if cut is None else self.match(cut + head[0], wanted))]
+        else:
+            good = [ns for tail, ns in self.page.tails.items() if (self.match(tail, wanted) if cut is None else len(tail) < len(wanted) and self.match(tail + cut, wanted))]
+        return sorted(n for ns in good for n in ns)
+
+    def runs_of(self, state: State) -> list[Run]:
+        j, cut = state
+        out = []
+        for n in self.lines(state):
+            ws, how = self.page.lines[n], {}
+            if self.forward:
+                if cut is not None:
+                    how[j] = self.match(cut + ws[0], self.passage[j])
+                i, y = self.run_on(ws, cut is not None, j + (cut is not None), how)
+                words = range(i)
+            else:
+                if cut is not None:
+                    how[j] = self.match(ws[-1] + cut, self.passage[j])
+                i, y = self.run_back(ws, len(ws) - 1 - (cut is not None), j - (cut is not None), how)
+                words = range(i + 1, len(ws))
+            out.append(Run(n, how, words, self.after(ws, i, y)))
+        return out
+
+    def on(self, state: State | None, k: int) -> Run | None:
+        """The best run of a line after (before) line ``k``, with its rest. Of equal ones the nearest."""
+        if state is None:
+            return None
+        todo = [state]
+        while todo:
+            s = todo[-1]
+            if s not in self.runs:
+                self.runs[s] = self.runs_of(s)
+            need = {r.state for r in self.runs[s] if r.state is not None and r.state not in self.best} if s not in self.best else ()
+            if need:
+                todo += need
+                continue
+            todo.pop()
+            if s not in self.best:
+                self.best[s] = self.table(self.runs[s])
+        lines, best = self.best[state]
+        at = bisect_right(lines, k) if self.forward else bisect_left(lines, k) - 1
+        return best[at] if 0 <= at < len(lines) else None
+
+    def table(self, runs: list[Run]) -> tuple[list[int], list[Run]]:
+        """The lines of the runs, and for each the best run from there on (up to there)."""
+        best: list[Run] = []
+        for r in reversed(runs) if self.forward else runs:
+            r.rest = self.on(r.state, r.line)
+            r.misread = sum(m == 2 for m in r.how.values()) + (r.rest.misread if r.rest else 0)
+            r.exact = sum(m == 1 for m in r.how.values()) + (r.rest.exact if r.rest else 0)
+            best.append(r if not best or r.value() >= best[-1].value() else best[-1])
+        return [r.line for r in runs], best[::-1] if self.forward else best
+
+
+def longest_run(page: Page, passage: list[str], tiles: list[tuple[int, int, int, int]], match: Matcher) -> int:
+    """The most consecutive passage words that one extended tile covers, of which at most MISREAD are misread."""
+    on, back = Way(page, passage, match, True), Way(page, passage, match, False)
     marked: set[tuple[int, int]] = set()
     best = 0
     for k0, i0, q0, _ in sorted(tiles, key=lambda t: (-t[3], t[0], t[1])):
-        ws = line(k0)
+        ws = page.lines[k0]
         i0 = min(i0, len(ws) - 1)
         if i0 < 0 or ws[i0] != passage[q0]:  # tokens without letters shift the place in the line
             near = [i for i in range(len(ws)) if ws[i] == passage[q0]]
@@ -312,73 +445,15 @@ def longest_run(lines: list[list[str]], passage: list[str], tiles: list[tuple[in
         if (k0, i0) in marked:
             continue
         how: dict[int, int] = {}
-        # forward
-        k, i, j = k0, i0, q0
-        i, j = run_on(ws, i, j, how)
-        used = [(k0, x) for x in range(i0, i)]
-        while j < len(passage):
-            cut = None
-            if i == len(ws) - 1 and len(ws[i]) < len(passage[j]):  # the line may end in the first part of the next word
-                cut = ws[i]
-            elif i < len(ws):
-                break
-            options = []
-            for n in range(k + 1, min(len(lines), k + 1 + LINE_GAP)):
-                nxt = line(n)
-                if not nxt:
-                    continue
-                got: dict[int, int] = {}
-                if cut is not None:
-                    m = match(cut + nxt[0], passage[j])
-                    if not m:
-                        continue
-                    got[j] = m
-                    end = run_on(nxt, 1, j + 1, got)
-                else:
-                    end = run_on(nxt, 0, j, got)
-                if end[0]:
-                    options.append((-(end[1] - j) if end[0] >= len(nxt) - 1 else 0.5 - (end[1] - j), n, end, got))
-            if not options:
-                break
-            _, k, (i, nj), got = min(options, key=lambda o: o[:2])
-            how.update(got)
-            ws, j = line(k), nj
-            used += [(k, x) for x in range(i)]
-        # backward
-        k, ws, i, j = k0, line(k0), i0 - 1, q0 - 1
-        while j >= 0:
-            while i >= 0 and j >= 0:
-                m = match(ws[i], passage[j])
-                if not m:
-                    break
-                how[j] = m
-                used.append((k, i))
-                i, j = i - 1, j - 1
-            if j < 0 or i > 0:
-                break
-            tail = ws[0] if i == 0 else None
-            options = []
-            for n in range(k - 1, max(-1, k - 1 - LINE_GAP), -1):
-                prev = line(n)
-                if not prev:
-                    continue
-                x, y = len(prev) - 1, j
-                if tail is not None:
-                    if len(prev[-1]) >= len(passage[j]) or not match(prev[-1] + tail, passage[j]):
-                        continue
-                    x, y = x - 1, y - 1
-                while x >= 0 and y >= 0 and match(prev[x], passage[y]):
-                    x, y = x - 1, y - 1
-                if y < j:
-                    options.append((-(j - y), k - n, n, tail is not None))
-            if not options:
-                break
-            _, _, k, joined = min(options)
-            ws = line(k)
-            i = len(ws) - 1
-            if joined:
-                how[j] = 2 if match(ws[-1] + tail, passage[j]) == 2 else 1
-                i, j = i - 1, j - 1
+        i, j = on.run_on(ws, i0, q0, how)
+        x, y = back.run_back(ws, i0 - 1, q0 - 1, how)
+        used = [(k0, n) for n in range(x + 1, i)]
+        for way, state in ((on, on.after(ws, i, j)), (back, back.after(ws, x, y))):
+            r = way.on(state, k0)
+            while r is not None:
+                how.update(r.how)
+                used += [(r.line, n) for n in r.words]
+                r = r.rest
         marked.update(used)
         low = min(how)
         high = low
@@ -423,13 +498,30 @@ def token_lines(text: str) -> list[list[str]]:
 def search(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) -> list[tuple[int, int, int]]:
     """(text number, item number, consecutive words) of every leak."""
     pages = [token_lines(t) if t else [] for t in texts]
-    best: dict[tuple[int, int], int] = {}
+    out: list[tuple[int, int, int]] = []
+
+    def grow(tiles: Tiles) -> None:
+        last: tuple[int, Page] | None = None
+        for (p, i), some in sorted(candidates(index, tiles).items()):
+            if last is None or last[0] != p:
+                last = p, Page(pages[p])
+            run = longest_run(last[1], index.passages[i], some, match)
+            if run >= MIN_WORDS:
+                out.append((p, i, run))
+
+    rest: list[Tiles] = []  # of pages that may go on in the next batch
     for batch in pieces(pages):
-        for (p, i), tiles in candidates(index, batch, ids).items():
-            run = longest_run(pages[p], index.passages[i], tiles, match)
-            if run >= max(MIN_WORDS, best.get((p, i), 0)):
-                best[p, i] = run
-    return [(p, i, n) for (p, i), n in best.items()]
+        found = tiles_of(index, batch, ids)
+        if found is not None:
+            rest.append(found)
+        if rest and rest[0].page.min() < batch[-1][0]:
+            tiles = Tiles.together(rest)
+            grow(tiles.where(tiles.page < batch[-1][0]))
+            left = tiles.where(tiles.page == batch[-1][0])
+            rest = [left] if len(left.page) else []
+    if rest:
+        grow(Tiles.together(rest))
+    return out
 
 
 def leaked(pages: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, passage: Column) -> DataFrame:

@@ -112,6 +112,22 @@ def test_long_pages_are_cut_without_loss(monkeypatch):
     assert found(index, [again]) == {}
 
 
+@pytest.mark.parametrize("batch", [30_000, 60])
+def test_any_lines_may_stand_between(monkeypatch, batch):
+    """Stretches under 15 words on both sides of a long advert are one leak, in one batch or in several."""
+    monkeypatch.setattr(L, "BATCH_WORDS", batch)
+    rng = random.Random(13)
+    item = " ".join(rng.sample(WORDS, 40))
+    index = L.Index.build([(0, item)])
+    ws = item.split()
+    for gap in (3, 13, 20, 200):
+        advert = [f"Notice {i} zebra quilt, yonder" for i in range(gap)]
+        whole = [" ".join(ws[5:10]), " ".join(ws[10:14]), *advert, " ".join(ws[14:18]), " ".join(ws[18:23]), "Yonder zebra"]
+        assert found(index, ["\n".join(whole)]) == {(0, 0): 18}, gap
+        backwards = [" ".join(ws[14:18]), *advert, " ".join(ws[5:10]), " ".join(ws[10:14])]
+        assert found(index, ["\n".join(backwards)]) == {}, gap
+
+
 def test_leaks_in_frames(spark, monkeypatch):
     rng = random.Random(7)
     items = passages(5, rng)
