@@ -429,10 +429,11 @@ class Way:
         return [r.line for r in runs], best[::-1] if self.forward else best
 
 
-def longest_run(page: Page, passage: list[str], tiles: list[tuple[int, int, int, int]], match: Matcher) -> int:
-    """The most consecutive passage words that one extended tile covers, of which at most MISREAD are misread."""
+def longest_run(page: Page, passage: list[str], tiles: list[tuple[int, int, int, int]], match: Matcher) -> tuple[int, int]:
+    """The most consecutive passage words that one extended tile covers, of which at most MISREAD are misread, and the passage words that all tiles cover."""
     on, back = Way(page, passage, match, True), Way(page, passage, match, False)
     marked: set[tuple[int, int]] = set()
+    covered: set[int] = set()
     best = 0
     for k0, i0, q0, _ in sorted(tiles, key=lambda t: (-t[3], t[0], t[1])):
         ws = page.lines[k0]
@@ -459,10 +460,9 @@ def longest_run(page: Page, passage: list[str], tiles: list[tuple[int, int, int,
         high = low
         while high in how:
             high += 1
+        covered.update(range(low, high))
         best = max(best, _clear([how[x] == 2 for x in range(low, high)]))
-        if best >= MIN_WORDS:
-            return best
-    return best
+    return best, len(covered)
 
 
 def _clear(misread: list[bool]) -> int:
@@ -497,17 +497,22 @@ def token_lines(text: str) -> list[list[str]]:
 
 def search(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) -> list[tuple[int, int, int]]:
     """(text number, item number, consecutive words) of every leak."""
+    return [found[:3] for found in tilings(index, texts, ids, match)]
+
+
+def tilings(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) -> list[tuple[int, int, int, int]]:
+    """(text number, item number, most consecutive words, words covered by all tiles) of every leak."""
     pages = [token_lines(t) if t else [] for t in texts]
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
 
     def grow(tiles: Tiles) -> None:
         last: tuple[int, Page] | None = None
         for (p, i), some in sorted(candidates(index, tiles).items()):
             if last is None or last[0] != p:
                 last = p, Page(pages[p])
-            run = longest_run(last[1], index.passages[i], some, match)
+            run, covered = longest_run(last[1], index.passages[i], some, match)
             if run >= MIN_WORDS:
-                out.append((p, i, run))
+                out.append((p, i, run, covered))
 
     rest: list[Tiles] = []  # of pages that may go on in the next batch
     for batch in pieces(pages):
@@ -525,7 +530,8 @@ def search(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) ->
 
 
 def leaked(pages: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, passage: Column) -> DataFrame:
-    """(doc_id, item_id, n_words) of every page that holds at least MIN_WORDS consecutive words of a passage, in order.
+    """(doc_id, item_id, n_words, n_covered) of every page that holds at least MIN_WORDS consecutive words of a passage, in order: the most
+    such words, and the words of the passage that all tiles cover, in any order.
 
     Case, punctuation and hyphenation do not matter; lines of other columns or adverts may come between. Null or empty texts and passages shorter
     than MIN_WORDS leak nothing; a page that is listed twice is reported twice. Narrow: no shuffle; texts are read whole, a batch at a time.
@@ -543,14 +549,14 @@ def leaked(pages: DataFrame, doc_id: Column, text: Column, items: DataFrame, ite
             for batch in batches:
                 docs = batch.column("doc_id")
                 for b in range(0, batch.num_rows, 2000):
-                    hits = search(index, batch.column("_text").slice(b, 2000).to_pylist(), ids, match)
+                    hits = tilings(index, batch.column("_text").slice(b, 2000).to_pylist(), ids, match)
                     if hits:
-                        at = pa.array([b + p for p, _, _ in hits], pa.int64())
+                        at = pa.array([b + p for p, _, _, _ in hits], pa.int64())
                         yield pa.RecordBatch.from_arrays(
-                            [docs.take(at), pa.array([index.ids[i] for _, i, _ in hits], pa.int64()), pa.array([n for _, _, n in hits], pa.int32())],
-                            names=["doc_id", "item_id", "n_words"],
+                            [docs.take(at), pa.array([index.ids[i] for _, i, _, _ in hits], pa.int64()), *[pa.array([h[k] for h in hits], pa.int32()) for k in (2, 3)]],
+                            names=["doc_id", "item_id", "n_words", "n_covered"],
                         )
 
-        part = source.mapInArrow(run, f"doc_id {kind}, item_id bigint, n_words int").withColumn("item_id", F.col("item_id").cast(kind_i))
+        part = source.mapInArrow(run, f"doc_id {kind}, item_id bigint, n_words int, n_covered int").withColumn("item_id", F.col("item_id").cast(kind_i))
         found = part if found is None else found.unionByName(part)
     return found

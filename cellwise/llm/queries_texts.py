@@ -31,8 +31,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per leaked item the number of pages that hold it and the most words of it on one page."""
-    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("most_words"))
+    """Per leaked item the number of pages that hold it, the longest run of its words on one page and the most of its words that the tiles of one page cover."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("most_words"), F.max("n_covered").alias("most_covered"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,15 @@ def test_any_lines_may_stand_between(monkeypatch, batch):
         assert found(index, ["\n".join(backwards)]) == {}, gap
 
 
+def test_tiling_goes_on_after_the_first_leak():
+    """A page that breaks a passage in three, its longest part neither first nor with the longest tile."""
+    ws = random.Random(14).sample(WORDS, 70)
+    index = L.Index.build([(0, " ".join(ws))])
+    lines = [ws[50:66], ["zebra"], ws[:12], ws[12:24], ws[24:36], ["zebra"]]
+    text = "\n".join(" ".join(line) for line in lines)
+    assert L.tilings(index, [text], L._Ids(index.vocabulary), L.Matcher(index)) == [(0, 0, 36, 52)]
+
+
 def test_leaks_in_frames(spark, monkeypatch):
     rng = random.Random(7)
     items = passages(5, rng)
