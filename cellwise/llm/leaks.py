@@ -2,15 +2,16 @@
 
 The passages are few and known, the corpus is large: the passages become an index of short word patterns (three words in a row, or three of four), which
 every task holds; pages stream through it without a shuffle. Shared patterns are seeds (found by rolling hashes of word ids over whole batches);
-seeds on one diagonal of a page line and a passage make a tile; pairs of page and passage whose tiles may cover enough are tiled: the longest
-tile is extended word by word, over misread letters and, at line ends, over hyphens and over lines of other columns or adverts, its words are marked,
-then the next longest unmarked tile follows. A page leaks a passage if one tile covers enough consecutive words.
+seeds on one diagonal of a page line and a passage make a tile; tiles at line ends are linked to tiles at line starts that go on in the passage, and pairs of
+page and passage whose linked tiles may hold a leak are tiled: tiles are extended word by word, over misread letters and, at line ends, over hyphens
+and over lines of other columns or adverts; the longest tile is marked, then the longest of what is left unmarked, and so on down to a least length.
+A page leaks a passage if one tile covers enough consecutive words, or if all tiles together cover enough of the passage, in whatever order.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -24,13 +25,15 @@ from cellwise.session import spread
 
 #: Consecutive passage words that make a leak, and the share of them that may be misread.
 MIN_WORDS, MISREAD = 15, 0.25
-#: Seeds of a leak: a tile of LONG_TILE words in a line, or two tiles that span MIN_COVER passage words over a line end, each at most EDGE words
-#: (misread or cut) away from it.
-LONG_TILE, MIN_COVER, EDGE = 11, 8, 2
+#: Least words of a tile that counts as covered, and the share of a passage that such tiles must cover to make a leak in any order.
+MIN_TILE, MIN_COVERAGE = 8, 0.5
+#: Words in seeds that linked tiles must hold for a leak of MIN_WORDS (the rest may be misread, cut by line ends or beside a misread word), and words between a
+#: tile and the line's end or start over which it is linked.
+SEED_WORDS, EDGE = 6, 3
 #: Passages of one index; larger sets are searched in several passes of this many, so that no task holds more.
 INDEX_ITEMS = 5_000
 _PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
-_EDGES = ".,;:!?\"'()[]{}*-¬~=_«»„“”‚‘’|<>/\\^`+"
+_EDGES = ".,;:!?\"'()[]{}*-¬=_«»„“”‚‘’|<>/\\^`+"
 _GAP = re.compile(r" \| |\s{3,}")
 _LINE, _NONE = -2, -1
 _CACHE = 400_000
@@ -121,7 +124,7 @@ class _Ids(dict):
         return found
 
 
-Piece = tuple[int, int, int, list[str]]  # page, line, words of the line before it, words
+Piece = tuple[int, int, int, int, list[str]]  # page, line, words of the line before it, words of the line, words
 
 
 def pieces(pages: list[list[list[str]]]) -> Iterator[list[Piece]]:
@@ -135,7 +138,7 @@ def pieces(pages: list[list[list[str]]]) -> Iterator[list[Piece]]:
                 if size and size + len(part) > BATCH_WORDS:
                     yield batch
                     batch, size = [], 0
-                batch.append((p, k, a, part))
+                batch.append((p, k, a, len(tokens), part))
                 size += len(part)
                 if part is tokens:
                     break
@@ -153,8 +156,7 @@ class Tiles:
     word: np.ndarray
     place: np.ndarray
     length: np.ndarray
-    opens: np.ndarray  # at the start of its line
-    ends: np.ndarray  # at the end of its line
+    after: np.ndarray  # words of the line behind it
 
     def where(self, rows: np.ndarray) -> Tiles:
         return Tiles(*[x[rows] for x in vars(self).values()])
@@ -171,12 +173,14 @@ def tiles_of(index: Index, batch: list[Piece], ids: _Ids) -> Tiles | None:
     page_of_line: list[int] = []
     line_in_page: list[int] = []
     word_in_line: list[int] = []
-    for p, k, a, tokens in batch:
+    words_of_line: list[int] = []
+    for p, k, a, n, tokens in batch:
         if len(tokens) > 2:
             starts.append(len(flat))
             page_of_line.append(p)
             line_in_page.append(k)
             word_in_line.append(a)
+            words_of_line.append(n)
             flat += [ids[t] for t in tokens]
             flat.append(_LINE)
     w = np.array([*flat, _LINE, _LINE, _LINE], np.int64)
@@ -188,8 +192,8 @@ def tiles_of(index: Index, batch: list[Piece], ids: _Ids) -> Tiles | None:
         good = ok[:n].copy()
         for o in pattern[1:]:
             good &= ok[o : o + n]
-        for o in range(1, pattern[2]):
-            good &= w[o : o + n] != _LINE
+        for o in set(range(pattern[2])).difference(pattern):
+            good &= w[o : o + n] == _NONE  # a misread word; a word of the passages there is another word
         g = np.flatnonzero(good)
         if not len(g) or not len(index.keys[j]):
             continue
@@ -212,44 +216,79 @@ def tiles_of(index: Index, batch: list[Piece], ids: _Ids) -> Tiles | None:
     line = np.searchsorted(begin, at, "right") - 1
     page = np.array(page_of_line)[line]
     # a tile: seeds of one (page, item, line, diagonal)
-    diagonal = place - (at - begin[line]) + 8192
-    code = (line * len(index.ids) + item) * (1 << 16) + np.clip(diagonal, 0, (1 << 16) - 1)
-    order = np.lexsort((place, code))
-    code, place, span, at, line, page, item = code[order], place[order], span[order], at[order], line[order], page[order], item[order]
-    head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    begin_at = begin[line]
+    diagonal = place - (at - begin_at)
+    order = np.lexsort((place, diagonal, item, line))
+    line, item, diagonal, place, span, at = line[order], item[order], diagonal[order], place[order], span[order], at[order]
+    new = (line[1:] != line[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1])
+    head = np.flatnonzero(np.concatenate(([True], new)))
     length = np.maximum.reduceat(place + span, head) - place[head]
-    line, word = line[head], (at - begin[line])[head]
-    words = np.diff(np.append(begin, len(flat)))[line] - 1
-    where, offset = np.array(line_in_page)[line], np.array(word_in_line)[line]
-    return Tiles(page[head], item[head], where, word + offset, place[head], length, word <= EDGE, words - (word + length) <= EDGE)
-
-
-def candidates(index: Index, tiles: Tiles) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
-    """Tiles (line, word in line, word in passage, length) from which a leak may be grown, of every (page, item) that has any, from all tiles of the pages.
-
-    A leak has at least MIN_WORDS words of which MISREAD may be misread, so it fills most of a long line or goes on over a line end, and its tiles
-    show that. A tile near the end of its line is linked to any later line of the page that opens with a tile that goes on in the passage.
-    """
+    line = line[head]
+    word = at[head] - begin[line] + np.array(word_in_line)[line]
+    return Tiles(np.array(page_of_line)[line], item[head], np.array(line_in_page)[line], word, place[head], length, np.array(words_of_line)[line] - word - length)
+
+
+def chains(pair: np.ndarray, tiles: Tiles, size: int) -> np.ndarray:
+    """Words in seeds of the longest chain that each tile is in. A tile near the end of its line goes on in a tile near the start of any line of the page
+    (columns may be scanned in any order) if the words between them, misread or cut by a hyphen, are as many as the passage has there, give or take one."""
+    opens, ends = np.flatnonzero(tiles.word <= EDGE), np.flatnonzero(tiles.after <= EDGE)
+    starts = pair * size + tiles.place - tiles.word
+    keys, of_start = np.unique(starts[opens], return_inverse=True)
+    stops = pair * size + tiles.place + tiles.length + tiles.after
+    src, dst = [], []
+    for o in (-1, 0, 1) if len(keys) else ():
+        wanted = stops[ends] + o
+        spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[spot] == wanted
+        src.append(ends[hit])
+        dst.append(spot[hit])
+    if not src or not sum(map(len, src)):
+        return tiles.length
+    src, dst = np.concatenate(src), np.concatenate(dst)
+    by_dst, by_src = np.argsort(dst, kind="stable"), np.argsort(src, kind="stable")
+    to, to_head = np.unique(dst[by_dst], return_index=True)
+    come, come_head = np.unique(src[by_src], return_index=True)
+    before, behind = tiles.length.copy(), tiles.length.copy()
+    for _ in range(size):  # places rise along a chain, so it ends
+        best = np.zeros(len(keys), np.int64)
+        best[to] = np.maximum.reduceat(before[src[by_dst]], to_head)
+        longer = tiles.length[opens] + best[of_start]
+        rest = np.zeros(len(keys), np.int64)
+        np.maximum.at(rest, of_start, behind[opens])
+        on = tiles.length[come] + np.maximum.reduceat(rest[dst[by_src]], come_head)
+        if (before[opens] == longer).all() and (behind[come] == on).all():
+            break
+        before[opens], behind[come] = longer, on
+    return before + behind - tiles.length
+
+
+Seed = tuple[int, int, int, bool]  # line, word in line, word in passage, whether to grow it in any case
+
+
+def candidates(index: Index, tiles: Tiles) -> dict[tuple[int, int], list[Seed]]:
+    """Seeds, longest chains first, of every (page, item) that may hold a leak, from all tiles of the pages: those with a chain of SEED_WORDS, or whose chains may
+    cover the share MIN_COVERAGE of the passage. Other seeds of such a pair are to be grown only if there is a leak."""
+    lengths = np.array([len(p) for p in index.passages], np.int64)
+    size = int(lengths.max(initial=0)) + 2 * EDGE + 4
+    size += int(tiles.word[tiles.word <= EDGE].max(initial=0))
     pair = tiles.page * len(index.ids) + tiles.item
-    size = max(map(len, index.passages), default=0) + 2 * EDGE + 4
-    # the last line of a page on which a tile of at least so many words opens at a place of the passage; links ask for MIN_COVER words at most
-    open_ = np.flatnonzero(tiles.opens)
-    keys, row = np.unique(pair[open_] * size + tiles.place[open_], return_inverse=True)
-    last = np.full((len(keys), MIN_COVER + 1), -1, np.int64)
-    np.maximum.at(last, (row, np.minimum(tiles.length[open_], MIN_COVER)), tiles.line[open_])
-    last = np.maximum.accumulate(last[:, ::-1], axis=1)[:, ::-1]
-    left = np.flatnonzero(tiles.ends)
-    linked = np.zeros(len(pair), bool)
-    for o in range(-1, 2 * EDGE + 3) if len(keys) else ():
-        goes_on = tiles.place[left] + tiles.length[left] + o
-        key = pair[left] * size + goes_on
-        spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        least = np.clip(np.maximum(tiles.place[left] + MIN_COVER - goes_on, MIN_COVER - 1 - tiles.length[left]), 0, MIN_COVER)
-        linked[left] |= (keys[spot] == key) & (last[spot, least] > tiles.line[left])
-    out: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-    t = tiles.where(np.flatnonzero(linked | (tiles.length >= LONG_TILE)))
-    for p, i, k, x, q, n in zip(*[c.tolist() for c in (t.page, t.item, t.line, t.word, t.place, t.length)], strict=True):
-        out.setdefault((p, i), []).append((k, x, q, n))
+    chain = chains(pair, tiles, size)
+    kept = np.flatnonzero(chain >= MIN_TILE - EDGE)
+    t, pair, chain = tiles.where(kept), pair[kept], chain[kept]
+    if not len(kept):
+        return {}
+    cell = np.repeat(pair * size + t.place - np.concatenate(([0], np.cumsum(t.length)[:-1])), t.length) + np.arange(t.length.sum())
+    pairs, covered = np.unique(np.unique(cell) // size, return_counts=True)
+    enough = covered >= MIN_COVERAGE * (1 - MISREAD / 2) * lengths[pairs % len(index.ids)]
+    long = np.zeros(len(pairs), bool)
+    of = np.searchsorted(pairs, pair)
+    long[of[chain >= SEED_WORDS]] = True
+    rows = np.flatnonzero((long | enough)[of])
+    rows = rows[np.lexsort((t.word[rows], t.line[rows], -chain[rows], pair[rows]))]
+    first = (chain >= SEED_WORDS) | enough[of]
+    out: dict[tuple[int, int], list[Seed]] = {}
+    for p, i, *seed in zip(*[c[rows].tolist() for c in (t.page, t.item, t.line, t.word, t.place, first)], strict=True):
+        out.setdefault((p, i), []).append(tuple(seed))
     return out
 
 
@@ -272,64 +311,83 @@ class Matcher:
     """Whether a page word is a passage word: 1 exactly, 2 with misread letters, 0 not. Words of the passages that differ are other words."""
 
     def __init__(self, index: Index) -> None:
-        self.vocabulary, self.known = index.vocabulary, {}
+        self.vocabulary, self.known, self.letters = index.vocabulary, {}, {}
+
+    def mask(self, word: str) -> int:
+        """The letters of a word as bits: every edit changes two at most."""
+        got = self.letters.get(word)
+        if got is None:
+            if len(self.letters) > _CACHE:
+                self.letters.clear()
+            got = 0
+            for c in word:
+                got |= 1 << (ord(c) % 61)
+            self.letters[word] = got
+        return got
 
     def __call__(self, word: str, wanted: str) -> int:
         if word == wanted:
             return 1
         if not word or word in self.vocabulary:
             return 0
+        n = len(wanted)
+        most = 1 if n <= 4 else 2 if n <= 7 else 3
+        if not -most <= len(word) - n <= most or (self.mask(word) ^ self.mask(wanted)).bit_count() > 2 * most:
+            return 0
         got = self.known.get((word, wanted))
         if got is None:
             if len(self.known) > _CACHE:
                 self.known.clear()
-            n = len(wanted)
-            most = 1 if n <= 4 else 2 if n <= 7 else 3
-            got = 2 if _distance(word, wanted, most) <= min(most, n - 1 if n > 1 else 1) else 0
-            self.known[word, wanted] = got
+            got = self.known[word, wanted] = 2 if _distance(word, wanted, most) <= min(most, n - 1 if n > 1 else 1) else 0
         return got
 
 
 class Page:
-    """The cleaned lines of a page, and which of them open or close with a word."""
+    """The cleaned lines of a page, and which of them open or close with a word. ``odd`` ones open (close) with words that are in no passage."""
 
-    def __init__(self, lines: list[list[str]]) -> None:
+    def __init__(self, lines: list[list[str]], vocabulary: dict[str, int]) -> None:
         self.lines = [[w for w in map(clean, line) if w] for line in lines]
-        self.heads: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        self.heads: dict[str, list[int]] = defaultdict(list)
         self.tails: dict[str, list[int]] = defaultdict(list)
+        self.odd_heads: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        self.odd_tails: dict[str, list[int]] = defaultdict(list)
         for k, ws in enumerate(self.lines):
             if ws:
-                self.heads[tuple(ws[:2])].append(k)
+                self.heads[ws[0]].append(k)
                 self.tails[ws[-1]].append(k)
+                if any(w not in vocabulary for w in ws[:2]):
+                    self.odd_heads[tuple(ws[:2])].append(k)
+                if ws[-1] not in vocabulary:
+                    self.odd_tails[ws[-1]].append(k)
 
 
 State = tuple[int, str | None]  # next word of the passage, and the part of it that the line before holds
+Covered = dict[int, tuple[int, int, int]]  # word of the passage: how it matches, line, word in line
 
 
 @dataclass
 class Run:
-    """Words of one line that go on in the passage: ``how`` they match, ``words`` of the line, the state after them if the line is at its end, and the
-    best rest of the way with its sums."""
+    """Words of one line that go on in the passage, the state after them if the line is at its end, and the best rest of the way with its sums."""
 
     line: int
-    how: dict[int, int]
-    words: range
+    words: Covered
     state: State | None
     rest: Run | None = None
     exact: int = 0
     misread: int = 0
 
-    def value(self) -> tuple[float, int]:
-        return self.exact + min(self.misread, self.exact * MISREAD / (1 - MISREAD)), -self.misread
+    def value(self) -> tuple[float, int, int]:
+        return self.exact + min(self.misread, self.exact * MISREAD / (1 - MISREAD)), -self.misread, -self.line
 
 
 class Way:
-    """The best way on in the passage from the end of a line over any later lines of the page (or from its start over earlier ones), a table a state."""
+    """The best way on in the passage from the end of a line over any lines of the page (or back from its start), the best a state. Columns may be scanned in
+    any order, so a line may go on in an earlier one; the passage's words are in order, so no line is used twice for the same words."""
 
     def __init__(self, page: Page, passage: list[str], match: Matcher, forward: bool) -> None:
         self.page, self.passage, self.match, self.forward = page, passage, match, forward
         self.runs: dict[State, list[Run]] = {}
-        self.best: dict[State, tuple[list[int], list[Run]]] = {}
+        self.best: dict[State, Run | None] = {}
 
     def step(self, ws: Sequence[str], i: int, j: int) -> tuple[int, int, int]:
         """Words of the page and of the passage that match at (i, j), and how."""
@@ -343,29 +401,32 @@ class Way:
             return 2, 1, 2
         return 0, 0, 0
 
-    def run_on(self, ws: list[str], i: int, j: int, how: dict[int, int]) -> tuple[int, int]:
+    def run_on(self, line: int, i: int, j: int, words: Covered) -> tuple[int, int]:
+        ws = self.page.lines[line]
         while i < len(ws) and j < len(self.passage):
             a, b, m = self.step(ws, i, j)
             if not a:
                 break
             for x in range(j, j + b):
-                how[x] = m
+                words[x] = m, line, i
             i, j = i + a, j + b
         return i, j
 
-    def run_back(self, ws: list[str], i: int, j: int, how: dict[int, int]) -> tuple[int, int]:
+    def run_back(self, line: int, i: int, j: int, words: Covered) -> tuple[int, int]:
+        ws = self.page.lines[line]
         while i >= 0 and j >= 0:
             m = self.match(ws[i], self.passage[j])
             if not m:
                 break
-            how[j] = m
+            words[j] = m, line, i
             i, j = i - 1, j - 1
         return i, j
 
-    def after(self, ws: list[str], i: int, j: int) -> State | None:
+    def after(self, line: int, i: int, j: int) -> State | None:
         """The state behind (before) the words of a line, if it is at its end (start): its last (first) word may be a part of the next one."""
         if not 0 <= j < len(self.passage):
             return None
+        ws = self.page.lines[line]
         edge = len(ws) - 1 if self.forward else 0
         if i == edge and (not self.forward or len(ws[i]) < len(self.passage[j])):
             return j, ws[i]
@@ -373,33 +434,39 @@ class Way:
 
     def lines(self, state: State) -> list[int]:
         j, cut = state
-        wanted = self.passage[j]
-        if self.forward:
-            good = [ns for head, ns in self.page.heads.items() if (self.step(head, 0, j)[0] if cut is None else self.match(cut + head[0], wanted))]
+        wanted, page = self.passage[j], self.page
+        if cut is None:
+            found = list((page.heads if self.forward else page.tails).get(wanted, ()))
+            if self.forward:
+                good = [ns for head, ns in page.odd_heads.items() if head[0] != wanted and self.step(head, 0, j)[0]]
+            else:
+                good = [ns for tail, ns in page.odd_tails.items() if tail != wanted and self.match(tail, wanted)]
         else:
-            good = [ns for tail, ns in self.page.tails.items() if (self.match(tail, wanted) if cut is None else len(tail) < len(wanted) and self.match(tail + cut, wanted))]
-        return sorted(n for ns in good for n in ns)
+            found = []
+            if self.forward:
+                good = [ns for head, ns in page.heads.items() if self.match(cut + head, wanted)]
+            else:
+                good = [ns for tail, ns in page.tails.items() if len(tail) < len(wanted) and self.match(tail + cut, wanted)]
+        return sorted(set(found).union(*good))
 
     def runs_of(self, state: State) -> list[Run]:
         j, cut = state
         out = []
         for n in self.lines(state):
-            ws, how = self.page.lines[n], {}
+            ws, words = self.page.lines[n], {}
             if self.forward:
                 if cut is not None:
-                    how[j] = self.match(cut + ws[0], self.passage[j])
-                i, y = self.run_on(ws, cut is not None, j + (cut is not None), how)
-                words = range(i)
+                    words[j] = self.match(cut + ws[0], self.passage[j]), n, 0
+                i, y = self.run_on(n, cut is not None, j + (cut is not None), words)
             else:
                 if cut is not None:
-                    how[j] = self.match(ws[-1] + cut, self.passage[j])
-                i, y = self.run_back(ws, len(ws) - 1 - (cut is not None), j - (cut is not None), how)
-                words = range(i + 1, len(ws))
-            out.append(Run(n, how, words, self.after(ws, i, y)))
+                    words[j] = self.match(ws[-1] + cut, self.passage[j]), n, len(ws) - 1
+                i, y = self.run_back(n, len(ws) - 1 - (cut is not None), j - (cut is not None), words)
+            out.append(Run(n, words, self.after(n, i, y)))
         return out
 
-    def on(self, state: State | None, k: int) -> Run | None:
-        """The best run of a line after (before) line ``k``, with its rest. Of equal ones the nearest."""
+    def on(self, state: State | None) -> Run | None:
+        """The best run of a line after (before) the state, with its rest. Of equal ones the first line's."""
         if state is None:
             return None
         todo = [state]
@@ -413,67 +480,98 @@ class Way:
                 continue
             todo.pop()
             if s not in self.best:
-                self.best[s] = self.table(self.runs[s])
-        lines, best = self.best[state]
-        at = bisect_right(lines, k) if self.forward else bisect_left(lines, k) - 1
-        return best[at] if 0 <= at < len(lines) else None
-
-    def table(self, runs: list[Run]) -> tuple[list[int], list[Run]]:
-        """The lines of the runs, and for each the best run from there on (up to there)."""
-        best: list[Run] = []
-        for r in reversed(runs) if self.forward else runs:
-            r.rest = self.on(r.state, r.line)
-            r.misread = sum(m == 2 for m in r.how.values()) + (r.rest.misread if r.rest else 0)
-            r.exact = sum(m == 1 for m in r.how.values()) + (r.rest.exact if r.rest else 0)
-            best.append(r if not best or r.value() >= best[-1].value() else best[-1])
-        return [r.line for r in runs], best[::-1] if self.forward else best
-
-
-def longest_run(page: Page, passage: list[str], tiles: list[tuple[int, int, int, int]], match: Matcher) -> tuple[int, int]:
-    """The most consecutive passage words that one extended tile covers, of which at most MISREAD are misread, and the passage words that all tiles cover."""
+                for r in self.runs[s]:
+                    r.rest = self.best[r.state] if r.state is not None else None
+                    r.misread = sum(m == 2 for m, _, _ in r.words.values()) + (r.rest.misread if r.rest else 0)
+                    r.exact = sum(m == 1 for m, _, _ in r.words.values()) + (r.rest.exact if r.rest else 0)
+                self.best[s] = max(self.runs[s], key=Run.value, default=None)
+        return self.best[state]
+
+
+def grown(page: Page, passage: list[str], on: Way, back: Way, line: int, word: int, place: int) -> Covered:
+    """The passage words around a seed that the page holds one after the other; empty if the seed's place holds no word."""
+    ws = page.lines[line]
+    word = min(word, len(ws) - 1)
+    if word < 0 or ws[word] != passage[place]:  # tokens without letters shift the place in the line
+        near = [i for i in range(len(ws)) if ws[i] == passage[place]]
+        if not near:
+            return {}
+        word = min(near, key=lambda i: abs(i - word))
+    words: Covered = {}
+    i, j = on.run_on(line, word, place, words)
+    x, y = back.run_back(line, word - 1, place - 1, words)
+    for way, state in ((on, on.after(line, i, j)), (back, back.after(line, x, y))):
+        r = way.on(state)
+        while r is not None:
+            words.update(r.words)
+            r = r.rest
+    return words
+
+
+def tile(page: Page, passage: list[str], seeds: list[Seed], match: Matcher) -> tuple[int, int]:
+    """The most consecutive passage words of a tile, of which at most MISREAD are misread, and the passage words that tiles of MIN_TILE or more words cover,
+    the longest marked first, none using a word of the page or of the passage twice."""
     on, back = Way(page, passage, match, True), Way(page, passage, match, False)
-    marked: set[tuple[int, int]] = set()
-    covered: set[int] = set()
-    best = 0
-    for k0, i0, q0, _ in sorted(tiles, key=lambda t: (-t[3], t[0], t[1])):
-        ws = page.lines[k0]
-        i0 = min(i0, len(ws) - 1)
-        if i0 < 0 or ws[i0] != passage[q0]:  # tokens without letters shift the place in the line
-            near = [i for i in range(len(ws)) if ws[i] == passage[q0]]
-            if not near:
-                continue
-            i0 = min(near, key=lambda i: abs(i - i0))
-        if (k0, i0) in marked:
+    done: set[tuple[int, int, int]] = set()
+    queue: list[tuple[int, int, list[tuple[int, int, int, int]]]] = []
+
+    def push(words: list[tuple[int, int, int, int]]) -> None:
+        """Adds the longest clear stretch of consecutive words."""
+        a, b = _clear([m == 2 for _, m, _, _ in words])
+        if b > a:
+            heapq.heappush(queue, (a - b, words[a][0], words[a:b]))
+
+    for line, word, place, first in seeds:
+        if (line, word, place) in done:
             continue
-        how: dict[int, int] = {}
-        i, j = on.run_on(ws, i0, q0, how)
-        x, y = back.run_back(ws, i0 - 1, q0 - 1, how)
-        used = [(k0, n) for n in range(x + 1, i)]
-        for way, state in ((on, on.after(ws, i, j)), (back, back.after(ws, x, y))):
-            r = way.on(state, k0)
-            while r is not None:
-                how.update(r.how)
-                used += [(r.line, n) for n in r.words]
-                r = r.rest
-        marked.update(used)
-        low = min(how)
-        high = low
-        while high in how:
-            high += 1
-        covered.update(range(low, high))
-        best = max(best, _clear([how[x] == 2 for x in range(low, high)]))
-    return best, len(covered)
-
-
-def _clear(misread: list[bool]) -> int:
-    """The longest stretch with at most MISREAD of its words misread."""
-    if len(misread) < MIN_WORDS or sum(misread) <= MISREAD * len(misread):
-        return len(misread)
+        if not first and (not queue or -queue[0][0] < MIN_WORDS):
+            break
+        words = grown(page, passage, on, back, line, word, place)
+        done.add((line, word, place))
+        done.update((k, i, x) for x, (_, k, i) in words.items())
+        for stretch in _stretches([(x, *words[x]) for x in sorted(words)]):
+            push(stretch)
+    longest = -queue[0][0] if queue else 0
+    on_page: set[tuple[int, int]] = set()
+    on_passage: set[int] = set()
+    while queue and -queue[0][0] >= MIN_TILE:
+        words = heapq.heappop(queue)[2]
+        free = [w for w in words if w[0] not in on_passage and w[2:] not in on_page]
+        if len(free) == len(words):
+            on_passage.update(w[0] for w in words)
+            on_page.update(w[2:] for w in words)
+        else:
+            for stretch in _stretches(free):
+                push(stretch)
+    return longest, len(on_passage)
+
+
+def _stretches(words: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int, int]]]:
+    """Cut where the passage's words are not consecutive."""
+    out: list[list[tuple[int, int, int, int]]] = []
+    for w in words:
+        if out and out[-1][-1][0] == w[0] - 1:
+            out[-1].append(w)
+        else:
+            out.append([w])
+    return out
+
+
+def _clear(misread: list[bool]) -> tuple[int, int]:
+    """The first of the longest stretches with at most MISREAD of its words misread, from, to."""
+    n, bad = len(misread), sum(misread)
+    if bad <= MISREAD * n:
+        return 0, n
     upto = np.concatenate(([0], np.cumsum(misread)))
-    for n in range(len(misread) - 1, 0, -1):
-        if (upto[n:] - upto[:-n]).min() <= MISREAD * n:
-            return n
-    return 0
+    for size in range(n - 1, 0, -1):
+        good = np.flatnonzero(upto[size:] - upto[:-size] <= MISREAD * size)
+        if len(good):
+            return int(good[0]), int(good[0]) + size
+    return 0, 0
+
+
+def leaks(run: int, covered: int, length: int) -> bool:
+    return run >= MIN_WORDS or (length >= MIN_WORDS and covered >= max(MIN_WORDS, MIN_COVERAGE * length))
 
 
 def token_lines(text: str) -> list[list[str]]:
@@ -495,11 +593,6 @@ def token_lines(text: str) -> list[list[str]]:
     return out
 
 
-def search(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) -> list[tuple[int, int, int]]:
-    """(text number, item number, consecutive words) of every leak."""
-    return [found[:3] for found in tilings(index, texts, ids, match)]
-
-
 def tilings(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) -> list[tuple[int, int, int, int]]:
     """(text number, item number, most consecutive words, words covered by all tiles) of every leak."""
     pages = [token_lines(t) if t else [] for t in texts]
@@ -507,11 +600,11 @@ def tilings(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) ->
 
     def grow(tiles: Tiles) -> None:
         last: tuple[int, Page] | None = None
-        for (p, i), some in sorted(candidates(index, tiles).items()):
+        for (p, i), seeds in candidates(index, tiles).items():
             if last is None or last[0] != p:
-                last = p, Page(pages[p])
-            run, covered = longest_run(last[1], index.passages[i], some, match)
-            if run >= MIN_WORDS:
+                last = p, Page(pages[p], index.vocabulary)
+            run, covered = tile(last[1], index.passages[i], seeds, match)
+            if leaks(run, covered, len(index.passages[i])):
                 out.append((p, i, run, covered))
 
     rest: list[Tiles] = []  # of pages that may go on in the next batch
@@ -530,11 +623,12 @@ def tilings(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) ->
 
 
 def leaked(pages: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, passage: Column) -> DataFrame:
-    """(doc_id, item_id, n_words, n_covered) of every page that holds at least MIN_WORDS consecutive words of a passage, in order: the most
-    such words, and the words of the passage that all tiles cover, in any order.
+    """(doc_id, item_id, n_words, n_covered) of every page that holds at least MIN_WORDS consecutive words of a passage, or at least MIN_COVERAGE of all its words in
+    tiles of MIN_TILE or more: the most consecutive words, and the words of the passage that all tiles cover, in any order.
 
-    Case, punctuation and hyphenation do not matter; lines of other columns or adverts may come between. Null or empty texts and passages shorter
-    than MIN_WORDS leak nothing; a page that is listed twice is reported twice. Narrow: no shuffle; texts are read whole, a batch at a time.
+    Case, punctuation and hyphenation do not matter; lines of other columns or adverts may come between, and a line may go on in any other line of the
+    page, as columns may be scanned out of order. Null or empty texts and passages shorter than MIN_WORDS leak nothing; a page that is listed twice is
+    reported twice. Narrow: no shuffle; texts are read whole, a batch at a time.
     """
     rows = [(r[0], r[1]) for r in items.select(item_id.alias("i"), passage.cast("string").alias("p")).orderBy("i").toLocalIterator()]
     source = spread(pages.select(doc_id.alias("doc_id"), text.cast("string").alias("_text")))

@@ -27,12 +27,17 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    return _leaks(spark, sf_dir).where(F.col("n_words") >= L.MIN_WORDS).select("doc_id", "item_id").distinct()
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per leaked item the number of pages that hold it, the longest run of its words on one page and the most of its words that the tiles of one page cover."""
-    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("most_words"), F.max("n_covered").alias("most_covered"))
+    """Per leaked item the number of pages that hold it, of those that hold it in reordered stretches only, the longest run of its words on one page and the most of
+    its words that the tiles of one page cover."""
+    found = _leaks(spark, sf_dir)
+    reordered = F.when(F.col("n_words") < L.MIN_WORDS, F.col("doc_id"))
+    return found.groupBy("item_id").agg(
+        F.count_distinct("doc_id").alias("n_docs"), F.count_distinct(reordered).alias("n_reordered"), F.max("n_words").alias("most_words"), F.max("n_covered").alias("most_covered")
+    )
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
