@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +29,7 @@ MIN_WORDS, MISREAD = 15, 0.25
 MIN_TILE, MIN_COVERAGE = 8, 0.5
 #: Words in seeds that linked tiles must hold for a leak of MIN_WORDS (the rest may be misread, cut by line ends or beside a misread word), and words between a
 #: tile and the line's end or start over which it is linked.
-SEED_WORDS, EDGE = 6, 3
+SEED_WORDS, EDGE = 7, 3
 #: Passages of one index; larger sets are searched in several passes of this many, so that no task holds more.
 INDEX_ITEMS = 5_000
 _PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
@@ -110,17 +110,27 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
+class _Clean(dict):
+    """Raw token to word, remembered."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > _CACHE:
+            self.clear()
+        found = self[token] = clean(token)
+        return found
+
+
 class _Ids(dict):
     """Raw token to word id, remembered."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.words = vocabulary, _Clean()
 
     def __missing__(self, token: str) -> int:
         if len(self) > _CACHE:
             self.clear()
-        found = self[token] = self.vocabulary.get(clean(token), _NONE)
+        found = self[token] = self.vocabulary.get(self.words[token], _NONE)
         return found
 
 
@@ -307,6 +317,11 @@ def _distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+def _most(n: int) -> int:
+    """Edits in a misread word of n letters."""
+    return 1 if n <= 4 else 2 if n <= 7 else 3
+
+
 class Matcher:
     """Whether a page word is a passage word: 1 exactly, 2 with misread letters, 0 not. Words of the passages that differ are other words."""
 
@@ -331,7 +346,7 @@ class Matcher:
         if not word or word in self.vocabulary:
             return 0
         n = len(wanted)
-        most = 1 if n <= 4 else 2 if n <= 7 else 3
+        most = _most(n)
         if not -most <= len(word) - n <= most or (self.mask(word) ^ self.mask(wanted)).bit_count() > 2 * most:
             return 0
         got = self.known.get((word, wanted))
@@ -345,12 +360,14 @@ class Matcher:
 class Page:
     """The cleaned lines of a page, and which of them open or close with a word. ``odd`` ones open (close) with words that are in no passage."""
 
-    def __init__(self, lines: list[list[str]], vocabulary: dict[str, int]) -> None:
-        self.lines = [[w for w in map(clean, line) if w] for line in lines]
+    def __init__(self, lines: list[list[str]], ids: _Ids) -> None:
+        vocabulary = ids.vocabulary
+        self.lines = [list(filter(None, map(ids.words.__getitem__, line))) for line in lines]
         self.heads: dict[str, list[int]] = defaultdict(list)
         self.tails: dict[str, list[int]] = defaultdict(list)
         self.odd_heads: dict[tuple[str, ...], list[int]] = defaultdict(list)
         self.odd_tails: dict[str, list[int]] = defaultdict(list)
+        self.known: dict[tuple[str, str], list[int]] = {}
         for k, ws in enumerate(self.lines):
             if ws:
                 self.heads[ws[0]].append(k)
@@ -360,6 +377,13 @@ class Page:
                 if ws[-1] not in vocabulary:
                     self.odd_tails[ws[-1]].append(k)
 
+    def cached(self, key: tuple[str, str], lines: Callable[[], list[int]]) -> list[int]:
+        """Lines found for one word, remembered for all passages."""
+        got = self.known.get(key)
+        if got is None:
+            got = self.known[key] = lines()
+        return got
+
 
 State = tuple[int, str | None]  # next word of the passage, and the part of it that the line before holds
 Covered = dict[int, tuple[int, int, int]]  # word of the passage: how it matches, line, word in line
@@ -434,20 +458,31 @@ class Way:
 
     def lines(self, state: State) -> list[int]:
         j, cut = state
-        wanted, page = self.passage[j], self.page
+        wanted, page, match = self.passage[j], self.page, self.match
         if cut is None:
-            found = list((page.heads if self.forward else page.tails).get(wanted, ()))
-            if self.forward:
-                good = [ns for head, ns in page.odd_heads.items() if head[0] != wanted and self.step(head, 0, j)[0]]
-            else:
-                good = [ns for tail, ns in page.odd_tails.items() if tail != wanted and self.match(tail, wanted)]
-        else:
-            found = []
-            if self.forward:
-                good = [ns for head, ns in page.heads.items() if self.match(cut + head, wanted)]
-            else:
-                good = [ns for tail, ns in page.tails.items() if len(tail) < len(wanted) and self.match(tail + cut, wanted)]
-        return sorted(set(found).union(*good))
+            if not self.forward:
+                return page.cached(("tail", wanted), lambda: [*page.tails.get(wanted, ()), *(n for w, ns in page.odd_tails.items() if match(w, wanted) for n in ns if w != wanted)])
+            found = page.cached(("head", wanted), lambda: self.heads(wanted))
+            if j + 1 < len(self.passage):
+                both = wanted + self.passage[j + 1]
+                found = found + page.cached(("both", both), lambda: [n for h, ns in page.odd_heads.items() if len(h[0]) > 3 and match(h[0], both) for n in ns])
+            return sorted(set(found))
+        # a part of a word must be like the passage's word there
+        like = wanted[: len(cut)] if self.forward else wanted[-len(cut) :]
+        most = _most(len(cut))
+        if _distance(cut, like, most) > most:
+            return []
+        if self.forward:
+            return sorted(n for head, ns in page.heads.items() if match(cut + head, wanted) for n in ns)
+        return sorted(n for tail, ns in page.tails.items() if len(tail) < len(wanted) and match(tail + cut, wanted) for n in ns)
+
+    def heads(self, wanted: str) -> list[int]:
+        page, match = self.page, self.match
+        out = list(page.heads.get(wanted, ()))
+        for head, ns in page.odd_heads.items():
+            if head[0] != wanted and (match(head[0], wanted) or len(head) > 1 and head[1] not in match.vocabulary and match(head[0] + head[1], wanted)):
+                out += ns
+        return out
 
     def runs_of(self, state: State) -> list[Run]:
         j, cut = state
@@ -602,7 +637,7 @@ def tilings(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) ->
         last: tuple[int, Page] | None = None
         for (p, i), seeds in candidates(index, tiles).items():
             if last is None or last[0] != p:
-                last = p, Page(pages[p], index.vocabulary)
+                last = p, Page(pages[p], ids)
             run, covered = tile(last[1], index.passages[i], seeds, match)
             if leaks(run, covered, len(index.passages[i])):
                 out.append((p, i, run, covered))
