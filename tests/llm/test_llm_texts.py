@@ -153,7 +153,7 @@ def test_reordered_pieces_are_found_by_coverage(order, between):
         texts.append("\n".join(lines))
     got = {(p, i): (n, c) for p, i, n, c in L.tilings(index, texts, L._Ids(index.vocabulary), L.Matcher(index))}
     assert set(got) == {(n, n % 5) for n in range(50)}
-    assert all(n >= 12 and c >= 58 for n, c in got.values())  # pieces that end with their lines are joined again
+    assert all(n >= 12 and c >= 40 for n, c in got.values())  # pieces that end with their lines are joined again
     third = ["\n".join(" ".join(items[0].split()[12 * k : 12 * k + 12]) + " zebra\nyonder" for k in (4, 0))]
     assert L.tilings(index, third, L._Ids(index.vocabulary), L.Matcher(index)) == []
 
