@@ -249,31 +249,59 @@ def test_mix_meets_shares_and_caps(spark):
 
 def test_exact_tails(spark):
     rng = random.Random(10)
-    rows = [(s, g, float(rng.choice([0, 0, 0, rng.randint(0, 40)]))) for s in (0, 1) for g in ("en", "pt", None) for _ in range(300)]
-    got = T.exact_tails(spark.createDataFrame(rows, "stat int, grp string, value double"), 7).collect()
+    rows = [(s, g, float(rng.choice([0, 0, 0, rng.randint(0, 40)])), rng.choice([True, True, False, None])) for s in (0, 1) for g in ("en", "pt", None) for _ in range(300)]
+    got = T.exact_tails(spark.createDataFrame(rows, "stat int, grp string, value double, ref boolean"), 7).collect()
     by = defaultdict(list)
-    for s, g, v in rows:
-        by[s, g].append(v)
-    assert len(got) == sum(len(set(v)) for v in by.values())
+    for s, g, v, ref in rows:
+        by[s, g].append((v, ref))
+    assert len(got) == sum(len({v for v, _ in vs}) for vs in by.values())
     for r in got:
-        vs = by[r.stat, r.grp]
-        assert abs(r.left - sum(v <= r.value for v in vs) / len(vs)) < 1e-12 and abs(r.right - sum(v >= r.value for v in vs) / len(vs)) < 1e-12
-        assert r["skew"] == 1
+        vs = [v for v, ref in by[r.stat, r.grp] if ref]
+        n = len(vs) + 1
+        assert abs(r.left - (sum(v <= r.value for v in vs) + 1) / n) < 1e-12 and abs(r.right - (sum(v >= r.value for v in vs) + 1) / n) < 1e-12
+        assert r["skew"] == 1 and r.n_ref == len(vs) and r.n_rows == sum(v == r.value for v, _ in by[r.stat, r.grp])
 
 
-def test_outlier_scores(spark):
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_outlier_scores(spark, monkeypatch, hot):
+    monkeypatch.setattr(T, "HOT", hot)
     rng = random.Random(11)
-    rows = [(i, rng.choice(["en", "pt"]), rng.gauss(5, 1), rng.gauss(5, 1)) for i in range(400)] + [(900, "en", 5.0, 60.0), (901, None, 5.0, 5.0)]
-    out = T.outlier_scores(spark.createDataFrame(rows, "doc_id bigint, lang string, a double, b double"), ["a", "b"]).collect()
-    assert len(out) == len(rows)
-    scores = {r.doc_id: (r.score, r.score_all) for r in out}
-    assert scores[901][0] == 0 and scores[901][1] > 0
-    assert 900 in sorted(scores, key=lambda i: -scores[i][1])[:12]
-    top = next(r for r in out if r.doc_id == 900)
-    n = len(rows)
-    low_a = sum(r[2] <= 5.0 for r in rows) / n
-    assert top.score_all >= -math.log(1 / n) - math.log(max(low_a, 1 - low_a)) - 1e-9
-    assert T.outlier_scores(spark.createDataFrame([], "doc_id bigint, lang string, a double, b double"), ["a", "b"]).count() == 0
+    rows = [(i, rng.choice(["en", "pt"]), round(rng.gauss(5, 1), 1), rng.choice([0.0, 0.0, 0.0, rng.gauss(5, 1)])) for i in range(400)] + [(900, "en", 5.0, 60.0), (901, None, 5.0, 5.0), (902, "en", None, 5.0)]
+    schema = "doc_id bigint, lang string, a double, b double"
+    everyone = F.lit(True)
+    out = {r.doc_id: r for r in T.outlier_scores(spark.createDataFrame(rows, schema).withColumn("ref", F.lit("clash")), ["a", "b"], everyone).collect()}
+    assert set(out) == {r[0] for r in rows}
+
+    def brute(i, lang):
+        own = [r for r in rows if lang is None or r[1] == lang]
+        me = next(r for r in rows if r[0] == i)
+        l = h = a = 0.0
+        for k in (2, 3):
+            vs = [r[k] for r in own if r[k] is not None]
+            if me[k] is None:
+                continue
+            low, high = (-math.log((sum(v <= me[k] for v in vs) + 1) / (len(vs) + 1)), -math.log((sum(v >= me[k] for v in vs) + 1) / (len(vs) + 1)))
+            mean = sum(vs) / len(vs)
+            third = sum((v - mean) ** 3 for v in vs)
+            l, h, a = l + low, h + high, a + (low if third < 0 else high)
+        return max(l, h, a)
+
+    for i in (0, 1, 17, 399, 900, 902):
+        assert abs(out[i].score - brute(i, out[i].lang)) < 1e-9 and abs(out[i].score_all - brute(i, None)) < 1e-9
+    assert out[901].score_all > 0 and out[901].n_ref == 1
+    assert T.outlier_scores(spark.createDataFrame([], schema), ["a", "b"], everyone).count() == 0
+    nobody = T.outlier_scores(spark.createDataFrame(rows, schema), ["a", "b"], F.lit(False))
+    assert nobody.where("score_all <> 0 OR n_ref_all <> 0").count() == 0 and nobody.where(T.beyond_reference()).count() == len(rows)
+
+
+@pytest.mark.parametrize("junk", [0.02, 0.5, 0.95])
+def test_ranks_lose_no_outlier_however_many(spark, junk):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["en", "pt"]), rng.gauss(5, 1), rng.uniform(0, 0.3) if i < junk * 600 else rng.uniform(0.5, 1)) for i in range(600)]
+    out = T.outlier_scores(spark.createDataFrame(rows, "doc_id bigint, lang string, a double, share double"), ["a", "share"], F.col("share") >= 0.5)
+    found = {r.doc_id for r in out.where(T.beyond_reference()).collect()}
+    assert found >= {r[0] for r in rows if r[3] <= 0.3}
+    assert len(found) <= len(rows) * (junk + 0.1 * (1 - junk))
 
 
 COMMON = frozenset("the of and was a to in that it with had by".split())
@@ -299,6 +327,7 @@ def test_running_lines():
     share = lambda t: P.page_statistics(t, COMMON)[-1]
     assert share(PROSE) == 1.0
     assert share(PROSE.replace("h", "b", 3)) == 1.0
+    assert share(PROSE.upper()) == 1.0
     for text in LISTS:
         assert share(text) <= 0.2, text
     mixed = "\n".join(x for pair in zip(PROSE.split("\n"), LISTS[0].split("\n")) for x in pair)
