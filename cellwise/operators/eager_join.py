@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.session import stage
+
 
 def eager_join_aggregate(
     left: DataFrame,
@@ -26,11 +28,12 @@ def eager_join_aggregate(
     min_left: Mapping[str, Column] | None = None,
     max_left: Mapping[str, Column] | None = None,
     count: str = "n_rows",
+    weight_left: Column | None = None,
 ) -> DataFrame:
     """``SELECT groups, COUNT(*), SUM(..) FROM left JOIN right ON .. GROUP BY groups`` with both sides aggregated before the join.
 
     ``on`` pairs a left with a right expression. Groups may use columns of either side. Every expression is evaluated on its own side and
-    renamed, so clashing or extra columns do no harm. Null keys match nothing; null values are left out of sums as in SQL; null groups form
+    renamed, so clashing or extra columns do no harm. ``weight_left`` is the number of rows that a left row stands for (left sums are then sums of those rows). Null keys match nothing; null values are left out of sums as in SQL; null groups form
     one group. Empty inputs give an empty result (with no groups: no row). Counts beyond 63 bits raise an error instead of wrapping.
     """
     group_left, group_right = dict(group_left or {}), dict(group_right or {})
@@ -43,7 +46,9 @@ def eager_join_aggregate(
         own = {f"_g{tag}{i}": c for i, c in enumerate(groups.values())}
         cols = [pair[which].alias(k) for pair, k in zip(on, keys, strict=True)] + [c.alias(n) for n, c in own.items()]
         cols += [c.alias(f"_s{tag}{i}") for i, c in enumerate(sums.values())] + [c[which].alias(f"_p{tag}{i}") for i, c in enumerate(product.values())] + extra
-        aggs = [F.count(F.lit(1)).alias(f"_n{tag}")]
+        cols += [weight_left.cast("bigint").alias("_w")] if which == 0 and weight_left is not None else []
+        weighted = which == 0 and weight_left is not None
+        aggs = [(F.sum("_w") if weighted else F.count(F.lit(1))).alias(f"_n{tag}")]
         aggs += [F.sum(f"_s{tag}{i}").alias(f"_s{tag}{i}") for i in range(len(sums))] + [F.sum(f"_p{tag}{i}").alias(f"_p{tag}{i}") for i in range(len(product))]
         if which == 0:
             aggs += [F.min(f"_mi{i}").alias(f"_mi{i}") for i in range(len(min_left))] + [F.max(f"_ma{i}").alias(f"_ma{i}") for i in range(len(max_left))]
@@ -65,17 +70,26 @@ def eager_join_aggregate(
     return joined.agg(*out).where(F.col(count).isNotNull())
 
 
+def form_states(rows: DataFrame, form: Column, value: Column, meaning) -> DataFrame:
+    """One row a written form of a key: ``form``, ``key`` (``meaning`` of it, a struct), ``n_rows``, ``total``. Forms that are no key are left out. One pass over the rows,
+    and a form is parsed once and not once a row."""
+    states = rows.select(form.alias("form"), value.cast("bigint").alias("v")).where("form IS NOT NULL").groupBy("form").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("v").alias("total"))
+    return states.select("form", meaning(F.col("form")).alias("key"), "n_rows", "total").where("key IS NOT NULL")
+
+
 def key_totals(rows: DataFrame, form: Column, value: Column, meaning) -> DataFrame:
     """Row and value totals per key, where a key is written in several forms and a few keys hold most rows.
 
-    The rows are one input, the dictionary of distinct written forms with their meaning is the other; they are joined on the form after both are
-    aggregated by it, so a key is parsed once a form and not once a row. ``meaning`` maps the form column to a struct (null: not a key).
-    Returns the struct's fields, ``n_rows`` and ``total``.
+    The rows are aggregated by form in one pass to compact states. The states are one input, the dictionary of written forms with their meaning (read off the
+    states, one row a form) is the other; they are joined on the form, counts are multiplied, and the join is rolled up to keys. ``meaning`` maps the form
+    column to a struct (null: not a key). Returns the struct's fields, ``n_rows`` and ``total``. Null values are left out of totals, null forms are no keys.
     """
-    forms = rows.select(form.alias("form")).groupBy("form").agg(F.lit(1).alias("one")).select("form", meaning(F.col("form")).alias("key")).where("key IS NOT NULL")
+    states = stage(form_states(rows, form, value, meaning), "form-states")
+    forms = states.select("form", "key")
     fields = forms.schema["key"].dataType.fieldNames()
+    on = [(F.col("form"), F.col("form"))]
     return eager_join_aggregate(
-        rows, forms, [(form, F.col("form"))], group_right={n: F.col(f"key.{n}") for n in fields}, sum_left={"total": value}, count="n_rows"
+        states, forms, on, group_right={n: F.col(f"key.{n}") for n in fields}, sum_left={"total": F.col("total")}, count="n_rows", weight_left=F.col("n_rows")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellwise.functions.keys import key_numbers, key_text
 from cellwise.operators import records as R
-from cellwise.operators.eager_join import dominant, eager_join_aggregate, key_totals
+from cellwise.operators.eager_join import dominant, eager_join_aggregate, form_states, key_totals
 from cellwise.session import table
 
 HOT_SHARE = 0.01
@@ -34,19 +34,20 @@ def p4_key_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_join_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates joined to trips of the same type and hour: pairs and sums a type, of a join far too large to make."""
-    updates = table(spark, sf_dir, "sketch_updates").withColumn("k", key_numbers(F.col("cell_key")))
+    updates = form_states(table(spark, sf_dir, "sketch_updates"), F.col("cell_key"), F.coalesce(F.col("cnt"), F.lit(1)), key_numbers)
     trips = table(spark, sf_dir, "taxi_trips")
     kind = F.when(F.col("duration").isNotNull(), F.when(F.col("duration") > 10, F.lit(1)).otherwise(F.lit(2)))
     return eager_join_aggregate(
         updates,
         trips,
-        [(F.col("k.type").cast("int"), kind), (F.col("k.hour").cast("int"), F.col("hour_of_day"))],
-        group_left={"trip_type": F.col("k.type").cast("int")},
+        [(F.col("key.type").cast("int"), kind), (F.col("key.hour").cast("int"), F.col("hour_of_day"))],
+        group_left={"trip_type": F.col("key.type").cast("int")},
         group_right={"weekday": F.col("weekday")},
-        sum_left={"sum_cnt": F.coalesce(F.col("cnt"), F.lit(1)).cast("bigint")},
+        sum_left={"sum_cnt": F.col("total")},
         sum_right={"sum_measurements": F.col("num_measurements").cast("bigint")},
-        sum_product={"sum_weighted": (F.coalesce(F.col("cnt"), F.lit(1)).cast("bigint"), F.col("num_measurements").cast("bigint"))},
+        sum_product={"sum_weighted": (F.col("total"), F.col("num_measurements").cast("bigint"))},
         count="n_pairs",
+        weight_left=F.col("n_rows"),
     )
 
 
