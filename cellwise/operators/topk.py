@@ -22,47 +22,41 @@ def approximate_top_k(df: DataFrame, key: str, k: int, tracked: int = 10_000) ->
 
 
 class BoundedQueue:
-    """A heap of at most k (count, key), largest count on top, whose slots are filled, replaced and re-ordered as updates come.
+    """At most k (count, key) in numbered slots, parents before children (slot i has the slots 2i and 2i + 1), filled and replaced as updates come.
 
-    A known key gets its new estimate and may rise. A new key takes a free slot; in a full queue it takes the top if it is strictly larger,
-    else, whatever its estimate, the place of the smallest of the last slots (k // 2 + 1 are searched). Later keys so push earlier ones out.
+    A known key takes its new estimate and moves up past ancestors with smaller counts. A new key takes a free slot and moves up alike. In a full queue it
+    takes the first slot if it is strictly larger than the key there; if not, whatever its estimate, it takes the place of the smallest of the last
+    k // 2 + 1 slots (the last one of equals; never the first slot of several), and stays there. So later keys push earlier ones out.
     """
 
     def __init__(self, k: int) -> None:
-        self.k, self.slots = k, []  # slot i is self.slots[i-1]
-        # the number of slots searched is a power of a logarithm, cut to a whole number
-        self.searched = int(2 ** (_log2(k) - 1)) + 1 if k > 0 else 0
-
-    def _rise(self, i: int) -> None:
-        while i > 1 and self.slots[i - 1][0] > self.slots[i // 2 - 1][0]:
-            self.slots[i - 1], self.slots[i // 2 - 1] = self.slots[i // 2 - 1], self.slots[i - 1]
-            i //= 2
+        self.k, self.slots = k, []
+        self.at: dict[str, int] = {}
+
+    def _put(self, slot: int, entry: tuple[int, str]) -> None:
+        """Entry goes to the slot, or to its highest ancestor that is reached through smaller counts only; what is passed moves down the path."""
+        path = [slot]
+        while path[-1] > 1 and self.slots[path[-1] // 2 - 1][0] < entry[0]:
+            path.append(path[-1] // 2)
+        moved = [self.slots[p - 1] for p in path[1:]] + [entry]
+        for p, e in zip(path, moved, strict=True):
+            self.slots[p - 1] = e
+            self.at[e[1]] = p
 
     def update(self, key: str, estimate: int) -> None:
         if self.k == 0:
             return
-        at = next((i for i, s in enumerate(self.slots, 1) if s[1] == key), 0)
-        if at:
-            self.slots[at - 1] = (estimate, key)
-            self._rise(at)
+        if key in self.at:
+            self._put(self.at[key], (estimate, key))
         elif len(self.slots) < self.k:
             self.slots.append((estimate, key))
-            self._rise(len(self.slots))
-        elif estimate > self.slots[0][0]:
-            self.slots[0] = (estimate, key)  # larger than the top, so the heap order holds
+            self._put(len(self.slots), (estimate, key))
         else:
-            size = len(self.slots)
-            low = size
-            for i in range(size - 1, max(1, size - self.searched), -1):
-                if self.slots[i - 1][0] < self.slots[low - 1][0]:
-                    low = i
-            self.slots[low - 1] = (estimate, key)
-
-
-def _log2(x: float) -> float:
-    import math
-
-    return math.log(x) / math.log(2)
+            tail = range(max(self.k - self.k // 2, min(self.k, 2)), self.k + 1)
+            slot = 1 if estimate > self.slots[0][0] else min(tail, key=lambda i: (self.slots[i - 1][0], -i))
+            del self.at[self.slots[slot - 1][1]]
+            self.slots[slot - 1] = (estimate, key)
+            self.at[key] = slot
 
 
 def sequential_heavy_hitters(df: DataFrame, key: Column, order: Column, k: int, depth: int, width: int) -> DataFrame:

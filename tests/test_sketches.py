@@ -71,13 +71,33 @@ def test_empty_streams(spark):
     assert T.top_k(C.key_counts(none, F.col("key")), 3).count() == 0
 
 
-def test_bounded_queue_golden_state(spark):
-    script = [f"test-{i}" for i in range(1, 9)] + ["test1"] + ["test2"] * 3 + ["test3"] * 4 + ["test1"] * 4 + ["test4"] * 5
-    script += ["test5", "test6"] + ["test7"] * 4 + ["test8"] * 10 + [f"test{i}" for i in (9, 10, 11, 12, 13, 14, 16, 17, 18)]
-    df = spark.createDataFrame(list(enumerate(script)), "seq int, key string")
-    got = T.sequential_heavy_hitters(df, F.col("key"), F.col("seq"), 7, 5, 20).orderBy("slot").collect()
-    wanted = [("test8", 10), ("test1", 5), ("test4", 5), ("test18", 1), ("test7", 4), ("test3", 4), ("test2", 3)]
-    assert [(r.key, r.cnt) for r in got] == wanted
+def test_bounded_queue_traced_by_hand(spark):
+    """Three slots, the second and the third are replaced. Keys do not collide, so an estimate is the count so far."""
+    trace = [
+        ("ash", ["ash 1"]),
+        ("oak", ["ash 1", "oak 1"]),
+        ("elm", ["ash 1", "oak 1", "elm 1"]),
+        ("elm", ["elm 2", "oak 1", "ash 1"]),  # passes its parent, ash moves down
+        ("fir", ["elm 2", "oak 1", "fir 1"]),  # full: the last of the smallest goes
+        ("ash", ["elm 2", "oak 1", "ash 2"]),  # counted all along, not larger than the first
+        ("ash", ["ash 3", "oak 1", "elm 2"]),
+        ("yew", ["ash 3", "yew 1", "elm 2"]),
+        ("oak", ["ash 3", "oak 2", "elm 2"]),
+        ("yew", ["ash 3", "oak 2", "yew 2"]),
+        ("yew", ["ash 3", "oak 2", "yew 3"]),  # equal to its parent: stays
+        ("elm", ["ash 3", "elm 3", "yew 3"]),
+        ("oak", ["ash 3", "elm 3", "oak 3"]),
+        ("fir", ["ash 3", "elm 3", "fir 2"]),
+        ("yew", ["yew 4", "elm 3", "fir 2"]),  # strictly larger than the first: takes its slot
+    ]
+    queue, counts = T.BoundedQueue(3), Counter()
+    for key, wanted in trace:
+        counts[key] += 1
+        queue.update(key, counts[key])
+        assert [f"{k} {c}" for c, k in queue.slots] == wanted
+    df = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(trace)], "seq int, key string")
+    got = T.sequential_heavy_hitters(df, F.col("key"), F.col("seq"), 3, 5, 1000).orderBy("slot").collect()
+    assert [f"{r.key} {r.cnt}" for r in got] == trace[-1][1]
     assert T.sequential_heavy_hitters(df, F.col("key"), F.col("seq"), 0, 5, 20).count() == 0
 
 
