@@ -127,12 +127,41 @@ def summarise(rows: DataFrame, capacity: int) -> DataFrame:
     return level.groupBy("g").applyInPandas(lambda pdf: _merge_frame(pdf, capacity, 0), _SCHEMA)
 
 
+def _hashed(rows: DataFrame, key: Mapping[str, Column], weight: Column, group: Sequence[str], least: Column | None = None) -> DataFrame:
+    """The key columns, ``_w``, ``_g`` (hash of the group), ``_h`` (hash of the key) and ``_least`` of the rows that count."""
+    names = list(key)
+    base = rows.select(*[c.alias(n) for n, c in key.items()], weight.cast("bigint").alias("_w"), *([least.alias("_least")] if least is not None else []))
+    base = base.where(" AND ".join([f"`{n}` IS NOT NULL" for n in names] + ["_w > 0"]))
+    g = F.xxhash64(*group) if group else F.lit(0).cast("bigint")
+    return base.select(*names, "_w", g.alias("_g"), F.xxhash64(*names).alias("_h"), *(["_least"] if least is not None else []))
+
+
+def top_items(rows: DataFrame, key: Mapping[str, Column], weight: Column, k: int, capacity: int) -> DataFrame:
+    """The k keys with the largest total weight (ties to the smaller key): the ``key`` columns, ``total`` and ``group_total``, fewer only if there are fewer keys.
+
+    A key among the k has at least the k-th largest guaranteed count of the summary, so only keys whose upper bound reaches it are counted. If keys
+    that the summary does not hold may reach it too (a flat stream), all keys are counted. Rows are left out as in ``frequent_items``.
+    """
+    names = list(key)
+    hashed = _hashed(rows, key, weight, ())
+    summary = stage(summarise(hashed.select(F.col("_g").alias("g"), F.col("_h").alias("h"), F.col("_w").alias("w")), max(capacity, k)), "top-items")
+    head = summary.where("total >= 0").agg(F.coalesce(F.max("floor"), F.lit(0)).alias("floor"), F.coalesce(F.max("total"), F.lit(0)).alias("total")).first()
+    lows = [r["low"] for r in summary.where("total < 0").orderBy(F.col("low").desc()).limit(k).select("low").collect()]  # k numbers
+    least = lows[-1] if len(lows) == k else 0
+    counted = hashed
+    if head["floor"] < least or head["floor"] == 0:
+        counted = hashed.join(F.broadcast(summary.where("total < 0").where(F.col("up") >= least).select(F.col("h").alias("_h"))), "_h", "left_semi")
+    totals = counted.groupBy(*names).agg(F.sum("_w").alias("total"))
+    return totals.orderBy(F.col("total").desc(), *names).limit(k).withColumn("group_total", F.lit(head["total"]).cast("bigint"))
+
+
 def frequent_items(
-    rows: DataFrame, key: Mapping[str, Column], weight: Column, share: float, capacity: int, group: Sequence[str] = (), max_groups: int | None = 1
+    rows: DataFrame, key: Mapping[str, Column], weight: Column, share: float, capacity: int, group: Sequence[str] = (), max_groups: int | None = 1, least: Column | None = None
 ) -> DataFrame:
     """Keys whose total weight is at least ``share`` of their group's total, with exact totals.
 
-    Returns the ``key`` columns, ``total`` (exact), ``low`` and ``up`` (bounds of the summary) and ``group_total``. ``group`` names the key
+    Returns the ``key`` columns, ``total`` (exact), ``low`` and ``up`` (bounds of the summary), ``group_total``, and with ``least`` the smallest value of that
+    expression among the key's rows as ``least``. ``group`` names the key
     columns that make groups (none: one group). Rows with a null in a key column or a weight that is null or below 1 are left out. Keys that
     collide in the 64-bit hash share a counter: bounds then hold for their sum, totals are exact. Columns are taken by expression, others ignored.
 
@@ -142,10 +171,7 @@ def frequent_items(
     if not share > 1 / capacity:
         raise ValueError("share must be above 1/capacity")
     names = list(key)
-    base = rows.select(*[c.alias(n) for n, c in key.items()], weight.cast("bigint").alias("_w"))
-    base = base.where(" AND ".join([f"`{n}` IS NOT NULL" for n in names] + ["_w > 0"]))
-    g = F.xxhash64(*group) if group else F.lit(0).cast("bigint")
-    hashed = base.select(*names, "_w", g.alias("_g"), F.xxhash64(*names).alias("_h"))
+    hashed = _hashed(rows, key, weight, group, least)
     summary = summarise(hashed.select(F.col("_g").alias("g"), F.col("_h").alias("h"), F.col("_w").alias("w")), capacity)
     if max_groups is None:
         summary = stage(summary, "frequent-items")
@@ -159,6 +185,8 @@ def frequent_items(
     if max_groups is not None or wanted.count() <= BROADCAST_ROWS:
         counted = hashed.join(F.broadcast(wanted), ["_g", "_h"])
     else:
-        counted = hashed.groupBy(*names, "_g", "_h").agg(F.sum("_w").alias("_w")).join(wanted, ["_g", "_h"])
-    totals = counted.groupBy(*names).agg(F.sum("_w").alias("total"), F.first("low").alias("low"), F.first("up").alias("up"), F.first("group_total").alias("group_total"))
+        smallest = [F.min("_least").alias("_least")] if least is not None else []
+        counted = hashed.groupBy(*names, "_g", "_h").agg(F.sum("_w").alias("_w"), *smallest).join(wanted, ["_g", "_h"])
+    smallest = [F.min("_least").alias("least")] if least is not None else []
+    totals = counted.groupBy(*names).agg(F.sum("_w").alias("total"), F.first("low").alias("low"), F.first("up").alias("up"), F.first("group_total").alias("group_total"), *smallest)
     return totals.where(F.col("total") >= F.lit(share) * F.col("group_total"))

@@ -42,16 +42,16 @@ def valid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = _frequent_updates(spark, sf_dir, UPDATE_SHARE).select(F.lit("updates").alias("origin"), "item_key")
-    cells = valid_cells(spark, sf_dir)
-    found = H.frequent_items(cells, {"run_id": F.col("run_id"), "vec": F.col("vec")}, F.col("cnt"), CELL_SHARE, CELL_COUNTERS, group=["run_id"], max_groups=None)
-    owners = cells.groupBy("run_id", "vec").agg(F.min("cell_id").alias("cell_id"))
-    named = found.select("run_id", "vec").join(owners, ["run_id", "vec"])
-    return updates.unionByName(named.select(F.lit("cells").alias("origin"), F.col("cell_id").cast("string").alias("item_key")))
+    key = {"run_id": F.col("run_id"), "vec": F.col("vec")}
+    found = H.frequent_items(valid_cells(spark, sf_dir), key, F.col("cnt"), CELL_SHARE, CELL_COUNTERS, group=["run_id"], max_groups=None, least=F.col("cell_id"))
+    return updates.unionByName(found.select(F.lit("cells").alias("origin"), F.col("least").cast("string").alias("item_key")))
 
 
 def p1_top_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 keys with the largest totals (a top-k report): all 20 hold more than 0.05 % of the total."""
-    return _frequent_updates(spark, sf_dir, 0.0005).orderBy(F.col("total").desc(), "item_key").limit(20).select("item_key", "total", "group_total")
+    """The 20 keys with the largest totals (a top-k report)."""
+    key = {c: F.col(c) for c in ("lat", "lon", "type", "hour")}
+    found = H.top_items(_updates(spark, sf_dir), key, F.col("cnt"), 20, UPDATE_COUNTERS)
+    return found.select(key_text(*[F.col(c) for c in key]).alias("item_key"), "total", "group_total")
 
 
 def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,19 @@ def p2_error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.error_report(_trips(spark, sf_dir))
 
 
+def p2_seen_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day of arrival: keys asked, and those that an earlier day has, as the filters and the check of their positives say."""
+    return S.error_report(_trips(spark, sf_dir)).select("batch", "n_keys", (F.col("n_positive") - F.col("n_wrong")).alias("n_seen"))
+
+
+def p2_answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per sketch run, how often the recorded answers are wrong: keys said to be seen that no delivery has, keys said to be new that one has, real counts that deny
+    or claim a delivery wrongly, and wrong positives that are recorded where there is none or not recorded where there is one."""
+    key = {"trip_day": F.col("trip_day"), "hour": F.col("hour_of_day"), "lat_k": _grid("lat"), "lon_k": _grid("lon"), "kind": F.col("trip_type")}
+    kept = {n: F.col(n) for n in ("sketch_run", "count_id", "sketch_count", "real_count", "false_positive")}
+    return S.answer_report(S.present(_trips(spark, sf_dir), table(spark, sf_dir, "trip_counts"), key, kept), "sketch_run", "sketch_count", "real_count", "false_positive")
+
+
 GROUPS = {"feature": "feature", "batch_day": "batch_day", "worker": "worker"}
 
 
@@ -159,6 +172,19 @@ UNION ALL
 SELECT DISTINCT 'count', count_id FROM c LEFT JOIN (SELECT *, true AS here FROM k) USING (trip_day, hour_of_day, a, b, t)
 WHERE (sketch_count > 0 AND here IS NULL) OR (sketch_count = 0 AND here)
 """
+_P2_KEYS = """WITH d AS (SELECT rec_id, coalesce(CAST(arrive_ts AS DATE) - DATE '1970-01-01', -1) AS day, trip_day, hour_of_day, floor(lat*1000+0.5) AS a, floor(lon*1000+0.5) AS b, CASE WHEN duration > 10 THEN 1 ELSE 2 END AS t
+  FROM taxi_trips WHERE lat IS NOT NULL AND lon IS NOT NULL AND duration IS NOT NULL AND trip_day IS NOT NULL AND hour_of_day IS NOT NULL)"""
+P2_BATCH_SQL = _P2_KEYS + """
+SELECT CASE WHEN day < 0 THEN 0 ELSE day - (SELECT min(day) FROM d WHERE day >= 0) + 1 END AS batch, count(*) AS n_keys, count(*) FILTER (day > first) AS n_seen
+FROM (SELECT DISTINCT day, trip_day, hour_of_day, a, b, t, min(day) OVER (PARTITION BY trip_day, hour_of_day, a, b, t) AS first FROM d) GROUP BY 1
+"""
+P2_ANSWER_SQL = _P2_KEYS + """,
+c AS (SELECT DISTINCT sketch_run, count_id, sketch_count, real_count, false_positive, trip_day, hour_of_day, floor(lat*1000+0.5) AS a, floor(lon*1000+0.5) AS b, trip_type AS t FROM trip_counts),
+p AS (SELECT DISTINCT sketch_run, count_id, sketch_count, real_count, false_positive, here IS NOT NULL AS here FROM c LEFT JOIN (SELECT DISTINCT trip_day, hour_of_day, a, b, t, true AS here FROM d) USING (trip_day, hour_of_day, a, b, t))
+SELECT sketch_run, count(*) FILTER (sketch_count IS NOT NULL) AS n_answers, count(*) FILTER (sketch_count > 0 AND NOT here) AS n_said_seen, count(*) FILTER (sketch_count = 0 AND here) AS n_said_new,
+  count(*) FILTER ((real_count > 0) <> here) AS n_real_wrong, count(*) FILTER ((false_positive > 0) <> (sketch_count > 0 AND NOT here)) AS n_positive_wrong,
+  round(count(*) FILTER ((sketch_count > 0 AND NOT here) OR (sketch_count = 0 AND here)) / nullif(count(*) FILTER (sketch_count IS NOT NULL), 0), 9) AS wrong_rate FROM p GROUP BY 1
+"""
 P3_FOUND_SQL = """
 WITH v AS (SELECT feature, batch_day, worker, sample_id, min(fvalue) AS v FROM feature_values WHERE isfinite(fvalue) GROUP BY 1, 2, 3, 4),
 h AS (SELECT DISTINCT hist_id, feature, batch_day, worker, b.x AS x, sum(coalesce(b.y, 0)) OVER w AS upto, sum(coalesce(b.y, 0)) OVER (PARTITION BY hist_id) AS total
@@ -178,5 +204,5 @@ l AS (SELECT run_id, node, min(low) AS cluster_id FROM r GROUP BY 1, 2)
 SELECT cluster_id, node AS cell_id FROM (SELECT *, count(*) OVER (PARTITION BY run_id, cluster_id) AS n FROM l) WHERE n >= 4
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_updates, p1_bounds, p2_found, p2_error_report, p3_found, p3_percentiles, p3_percentiles_merged, p6_found, p6_clusters)}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p1_top_updates": P1_TOP_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_updates, p1_bounds, p2_found, p2_error_report, p2_seen_by_batch, p2_answer_report, p3_found, p3_percentiles, p3_percentiles_merged, p6_found, p6_clusters)}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p1_top_updates": P1_TOP_SQL, "p2_found": P2_FOUND_SQL, "p2_seen_by_batch": P2_BATCH_SQL, "p2_answer_report": P2_ANSWER_SQL, "p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL}

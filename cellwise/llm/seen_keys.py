@@ -136,3 +136,15 @@ def error_report(history: History) -> DataFrame:
         F.max("asked").alias("n_filters"),
         bound.alias("error_bound"),
     )
+
+
+def answer_report(asked: DataFrame, run: str, sketch: str, real: str, positive: str) -> DataFrame:
+    """Per ``run`` of ``asked`` (one row an answer, with ``present``): answers, those that say seen or new wrongly, their share as ``wrong_rate``, and how many recorded real
+    counts and recorded wrong positives disagree with the truth. A null count is no answer; a null run is a run."""
+    seen, here = F.col(sketch) > 0, F.col("present")
+    said_seen, said_new = seen & ~here, (F.col(sketch) == 0) & here
+    n = F.count(F.col(sketch))
+    return asked.groupBy(run).agg(
+        n.alias("n_answers"), F.count_if(said_seen).alias("n_said_seen"), F.count_if(said_new).alias("n_said_new"), F.count_if((F.col(real) > 0) != here).alias("n_real_wrong"),
+        F.count_if((F.col(positive) > 0) != (seen & ~here)).alias("n_positive_wrong"), F.round(F.try_divide(F.count_if(said_seen | said_new), n), 9).alias("wrong_rate"),
+    )
