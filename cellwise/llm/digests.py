@@ -133,17 +133,19 @@ def count_ranks(values: DataFrame, value: Column, groups: Mapping[str, Column],
     v = value.cast("double")
     base = values.select(*[c.alias(n) for n, c in groups.items()], v.alias("_v")).where(F.col("_v").isNotNull() & (F.abs("_v") < F.lit(float("inf"))))
     small = cuts.count() <= BROADCAST_ROWS
-    lists = cuts.groupBy(*names).agg(F.collect_set(cut).alias("_cuts"))
+    lists = cuts.groupBy(*names).agg(F.sort_array(F.collect_set(cut)).alias("_cuts"))
     lists = lists.select(*[F.col(n).alias(f"_x{n}") for n in names], "_cuts")
     same = F.lit(True)
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"_x{n}"))
     hit = base.join(F.broadcast(lists) if small else lists, same)
-    pairs = hit.select(*names, "_v", F.explode("_cuts").alias("_cut"))
-    counted = pairs.groupBy(*names, "_cut").agg(
-        F.sum((F.col("_v") < F.col("_cut")).cast("bigint")).alias("n_below"),
-        F.sum((F.col("_v") <= F.col("_cut")).cast("bigint")).alias("n_at_or_below"),
-        F.count(F.lit(1)).alias("n_all"),
+    # a value counts in one bucket of its group: the number of cuts below it, and at or below it
+    below, upto = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
+    buckets = hit.select(*names, below.alias("_i"), upto.alias("_j"), "_cuts").groupBy(*names, "_i", "_j").agg(F.count(F.lit(1)).alias("_n"), F.first("_cuts").alias("_cuts"))
+    counted = buckets.select("*", F.posexplode("_cuts").alias("_k", "_cut")).groupBy(*names, "_cut").agg(
+        F.sum(F.when(F.col("_j") <= F.col("_k"), F.col("_n")).otherwise(0)).alias("n_below"),
+        F.sum(F.when(F.col("_i") <= F.col("_k"), F.col("_n")).otherwise(0)).alias("n_at_or_below"),
+        F.sum("_n").alias("n_all"),
     )
     counted = counted.select(*[F.col(n).alias(f"_x{n}") for n in names], "_cut", "n_below", "n_at_or_below", "n_all")
     return cuts.join(counted, same & (F.col(cut) == F.col("_cut"))).select(*cuts.columns, "n_below", "n_at_or_below", "n_all")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,6 @@ BLOCK_TOKENS = 512
 SHARD_BLOCKS = 256
 #: Offsets of (source, partition) up to this number are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Sources in a table of targets; the plan is made on the driver.
-MAX_TARGETS = 10_000
 # Fixed value: the public pre-tokenisation pattern of the vocabulary.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -120,13 +119,22 @@ def pack(docs: DataFrame, doc_id: Column, source: Column, text: Column, path: st
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("pid") == F.col("_p"))
     placed = coded.where("n > 0").join(F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets, on)
     placed = placed.select("source", (F.col("offset") + F.col("at")).alias("start"), "n", "tokens")
-    first, last = F.col("start"), F.col("start") + F.col("n")
-    block = F.explode(F.sequence(F.floor(first / length), F.floor((last - 1) / length))).alias("block")
-    cut = placed.select("source", block, "start", "n", "tokens")
-    begin = F.greatest(F.col("block") * length, "start")
-    end = F.least((F.col("block") + 1) * length, F.col("start") + F.col("n"))
-    piece = F.substring(F.col("tokens"), ((begin - F.col("start")) * 2 + 1).cast("int"), ((end - begin) * 2).cast("int"))
-    pieces = cut.select("source", "block", begin.alias("begin"), piece.alias("piece"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s, start, tokens in zip(*[batch.column(n).to_pylist() for n in ("source", "start", "tokens")], strict=True):
+                end = start + len(tokens) // 2
+                for block in range(start // length, (end - 1) // length + 1):
+                    a, b = max(start, block * length), min(end, (block + 1) * length)
+                    out.append((s, block, a, tokens[2 * (a - start) : 2 * (b - start)]))
+                if len(out) > 10_000:
+                    yield _pieces(out)
+                    out = []
+            if out:
+                yield _pieces(out)
+
+    pieces = placed.mapInArrow(cut, "source string, block bigint, begin bigint, piece binary")
     ordered = pieces.repartition("source", "block").sortWithinPartitions("source", "block", "begin")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +157,11 @@ def pack(docs: DataFrame, doc_id: Column, source: Column, text: Column, path: st
     return ordered.mapInArrow(join, "source string, block bigint, n_tokens int, tokens binary")
 
 
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"source": pa.string(), "block": pa.int64(), "begin": pa.int64(), "piece": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+
 def _blocks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) // 2 for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
@@ -156,30 +169,46 @@ def _blocks(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
+    """How many of ``draws`` items drawn without replacement are good. By inversion at any size: the probabilities follow from the ratios of neighbours, taken over all
+    that may happen or 40 standard deviations, beyond which nothing is left in a double."""
+    low, high = max(0, draws - bad), min(draws, good)
+    whole = good + bad
+    sd = (draws * (good / whole) * (bad / whole) * ((whole - draws) / max(whole - 1, 1))) ** 0.5 if whole else 0.0
+    mode = min(max((draws + 1) * (good + 1) // (whole + 2), low), high)
+    first, last = max(low, int(mode - 40 * sd - 40)), min(high, int(mode + 40 * sd + 40))
+    if first >= last:
+        return first
+    k = np.arange(first, last, dtype=float)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1))))
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(upto, rng.random() * upto[-1], "right").clip(0, last - first))
+
+
 def _split(totals: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
     """How many of each source's slots are among the first ``left``: a multinomial draw conditioned on the totals."""
     whole, out = int(totals.sum()), np.zeros(len(totals), np.int64)
     for i, n in enumerate(totals.tolist()):
         if whole <= 0 or left <= 0:
             break
-        if max(whole, left) < 10**9:
-            k = int(rng.hypergeometric(n, whole - n, left)) if whole > n else left
-        else:  # beyond the generator's range: its normal limit, kept within what is possible
-            mean = left * n / whole
-            sd = (mean * (1 - n / whole) * (1 - left / whole)) ** 0.5
-            k = int(np.clip(round(rng.normal(mean, sd)), max(0, left - (whole - n)), min(n, left)))
-        out[i] = k
+        out[i] = k = hypergeometric(n, whole - n, left, rng)
         whole, left = whole - n, left - k
     return out
 
 
-def shard_counts(totals: np.ndarray, shards: int, size: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first slot of each source, number of slots of each source) of one shard, by walking down the tree of shards."""
+def shard_counts(totals: np.ndarray, shards: int, size: int, shard: int, seed: int, known: dict[tuple[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot of each source, number of slots of each source) of one shard, by walking down the tree of shards. ``known`` keeps the draws of the branch walked last."""
     low, high, begin = 0, shards, np.zeros(len(totals), np.int64)
     whole = int(totals.sum())
     while high - low > 1:
         mid = (low + high) // 2
-        left = _split(totals, min(mid * size, whole) - min(low * size, whole), np.random.default_rng([seed, low, high]))
+        left = None if known is None else known.get((low, high))
+        if left is None:
+            left = _split(totals, min(mid * size, whole) - min(low * size, whole), np.random.default_rng([seed, low, high]))
+            if known is not None:
+                if len(known) > 64:
+                    known.clear()
+                known[low, high] = left
         if shard < mid:
             totals, high = left, mid
         else:
@@ -207,11 +236,9 @@ def permute(index: np.ndarray, size: int, seed: int) -> np.ndarray:
 
 
 def plan(blocks: DataFrame, sizes: DataFrame, targets: DataFrame, length: int = BLOCK_TOKENS) -> pd.DataFrame:
-    """Per source: blocks, slots (output blocks). The output is as large as all sources together, if the caps allow it."""
+    """Per source: blocks, slots (output blocks). The output is as large as all sources together, if the caps allow it. The driver holds one row a source."""
     held = blocks.groupBy("source").agg(F.count(F.lit(1)).alias("blocks"))
-    rows = capacities(sizes, targets).join(held, "source", "left").select("source", "target_share", "max_repeats", "size", "wanted", F.coalesce("blocks", F.lit(0)).alias("blocks"))
-    if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
-        raise ValueError("too many targets for a plan on the driver")
+    rows = capacities(sizes, targets).join(held, "source", "left").select("source", "target_share", "max_repeats", "size", "wanted", "short", F.coalesce("blocks", F.lit(0)).alias("blocks"))
     out = rows.toPandas().sort_values("source", ignore_index=True)
     total = float((out["wanted"] / out["target_share"].where(out["target_share"] > 0)).max()) if len(out) else 0.0
     given = fill(out["target_share"].to_numpy(float), (out["blocks"] * out["max_repeats"]).to_numpy(float), (0.0 if np.isnan(total) else total) / length)
@@ -224,9 +251,10 @@ def slots(spark, planned: pd.DataFrame, seed: int, size: int = SHARD_BLOCKS) ->
     shards = max(1, -(-int(totals.sum()) // size))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
             for shard in pdf["id"].tolist():
-                begin, count = shard_counts(totals, shards, size, shard, seed)
+                begin, count = shard_counts(totals, shards, size, shard, seed, known)
                 who = np.repeat(np.arange(len(names)), count)
                 k = np.concatenate([np.arange(b, b + c) for b, c in zip(begin, count, strict=True)]) if len(who) else np.zeros(0, np.int64)
                 epoch, block = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
@@ -244,21 +272,33 @@ def slots(spark, planned: pd.DataFrame, seed: int, size: int = SHARD_BLOCKS) ->
     return spark.range(shards).mapInPandas(draw, "shard bigint, slot int, source string, epoch int, block bigint")
 
 
-def mix(docs: DataFrame, doc_id: Column, source: Column, text: Column, targets: DataFrame, path: str = TOKENIZER, seed: int = 7) -> DataFrame:
-    """The mixed blocks: (shard, slot, source, epoch, block, n_tokens, tokens). Sources without a target give nothing; null sources count for the total size only."""
+@dataclass
+class Mix:
+    """``rows``: the mixed blocks (shard, slot, source, epoch, block, n_tokens, tokens); ``plan``: what each target source was to give."""
+
+    rows: DataFrame
+    plan: pd.DataFrame
+
+
+def mix(docs: DataFrame, doc_id: Column, source: Column, text: Column, targets: DataFrame, path: str = TOKENIZER, seed: int = 7) -> Mix:
+    """Sources without a target give nothing; null sources count for the total size only."""
     blocks = stage(pack(docs, doc_id, source, text, path), "blocks")
     sizes = blocks.groupBy("source").agg(F.sum("n_tokens").alias("size"))
-    drawn = slots(docs.sparkSession, plan(blocks, sizes, targets), seed)
-    return drawn.join(blocks, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "tokens")
+    planned = plan(blocks, sizes, targets)
+    drawn = slots(docs.sparkSession, planned, seed)
+    return Mix(drawn.join(blocks, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "tokens"), planned)
 
 
-def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and actual share of every target source, and the most times one of its blocks was taken."""
-    used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_blocks"), (F.max("epoch") + 1).alias("repeats"))
+def reached(mixed: Mix) -> DataFrame:
+    """Target and actual share of every target source, the most times one of its blocks was taken, and ``short``: it gave all it may, and that is less than its target."""
+    used = mixed.rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_blocks"), (F.max("epoch") + 1).alias("repeats"))
+    rows = [(p.source, float(p.target_share), int(p.max_repeats), 0.0 if pd.isna(p.wanted) else float(p.wanted), not pd.isna(p.short) and bool(p.short)) for p in mixed.plan.itertuples(index=False)]
+    targets = used.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeats int, wanted double, lacks boolean")
+    used = stage(used, "used")
     total = used.agg(F.sum("tokens").alias("t")).scalar()
-    out = targets.select("source", "target_share", "max_repeats").join(used, "source", "left")
     zero = F.lit(0)
-    return out.select(
-        "source", "target_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("n_blocks", zero).alias("n_blocks"),
-        F.coalesce("repeats", zero).alias("repeats"), F.coalesce(F.col("tokens") / total, F.lit(0.0)).alias("actual_share"),
+    tokens = F.coalesce("tokens", zero)
+    return targets.join(used, "source", "left").select(
+        "source", "target_share", "max_repeats", tokens.alias("tokens"), F.coalesce("n_blocks", zero).alias("n_blocks"),
+        F.coalesce("repeats", zero).alias("repeats"), F.coalesce(F.col("tokens") / total, F.lit(0.0)).alias("actual_share"), (F.col("lacks") & (tokens < F.col("wanted"))).alias("short"),
     )

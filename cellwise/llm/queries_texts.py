@@ -41,24 +41,29 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = M.token_counts(_docs(spark, sf_dir), {"source": F.col("source")}, F.col("text"))
-    sizes = stage(M.source_sizes(counts), "sizes")
-    return M.capacities(sizes, table(spark, sf_dir, "mix_targets")).where("short").select("source")
+def _mix(spark: SparkSession, sf_dir: str) -> M.Mix:
+    return M.mix(_docs(spark, sf_dir), F.col("doc_id"), F.col("source"), F.col("text"), table(spark, sf_dir, "mix_targets"))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.mix(_docs(spark, sf_dir), F.col("doc_id"), F.col("source"), F.col("text"), table(spark, sf_dir, "mix_targets"))
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose blocks, taken as often as allowed, do not fill their share of the mix."""
+    return M.reached(_mix(spark, sf_dir)).where("short").select("source")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed blocks of tokens by output shard."""
-    return _mix(spark, sf_dir)
+    return _mix(spark, sf_dir).rows
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of the mix."""
-    return M.reached(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return M.reached(_mix(spark, sf_dir))
+
+
+def p8_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same shortfall by counting tokens a document, without a mix."""
+    counts = M.token_counts(_docs(spark, sf_dir), {"source": F.col("source")}, F.col("text"))
+    return M.capacities(stage(M.source_sizes(counts), "sizes"), table(spark, sf_dir, "mix_targets"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +109,5 @@ b AS (SELECT doc_id, whole, max(n) AS n, greatest(sum(low), sum(high), sum(CASE
 SELECT doc_id, round(max(best) FILTER (NOT whole), 6) AS score, round(max(best) FILTER (whole), 6) AS score_all, max(n) FILTER (NOT whole) AS n_ref, max(n) FILTER (whole) AS n_ref_all FROM b GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_statistics, p9_scores)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_items, p8_found, p8_mix, p8_shares, p8_capacities, p9_found, p9_statistics, p9_scores)}
 ORACLES: dict[str, str] = {"p9_scores": P9_SCORES_SQL}

@@ -288,3 +288,19 @@ def test_condensed_tree_prefers_the_split():
     size = {i: 1 for i in [*range(10), *range(20, 30)]}
     out = C.condense(u, v, w, size, 5, 1.0)
     assert sorted(o[0] for o in out) == [10, 10]
+
+
+@pytest.mark.parametrize("capacity", [8, 400])
+@pytest.mark.parametrize("flat", [True, False])
+def test_top_items_are_exact(spark, capacity, flat):
+    """Also of a flat stream, where keys that the summary dropped may be among the top."""
+    rng = random.Random(21)
+    rows = [(str(rng.randint(0, 99) if flat else int(rng.expovariate(0.2))), rng.randint(1, 3)) for _ in range(3000)] + [(None, 9), ("0", None), ("1", 0)]
+    out = H.top_items(spark.createDataFrame(rows, "k string, w int").repartition(4), {"k": F.col("k")}, F.col("w"), 5, capacity).collect()
+    totals = Counter()
+    for k, w in rows:
+        if k is not None and w:
+            totals[k] += w
+    assert [(r.k, r.total) for r in out] == sorted(totals.items(), key=lambda e: (-e[1], e[0]))[:5]
+    assert {r.group_total for r in out} == {sum(totals.values())}
+    assert H.top_items(spark.createDataFrame([], "k string, w int"), {"k": F.col("k")}, F.col("w"), 5, capacity).count() == 0

@@ -199,6 +199,29 @@ def test_shard_draws_add_up_and_vary():
     assert (upto == totals).all() and len(set(counts[:-1])) > 1
 
 
+@pytest.mark.parametrize(("good", "bad", "draws"), [(7, 5, 6), (300, 50, 100), (40_000, 60_000, 30_000)])
+def test_hypergeometric_draws(good, bad, draws):
+    ours, theirs = np.random.default_rng(1), np.random.default_rng(2)
+    a = np.array([M.hypergeometric(good, bad, draws, ours) for _ in range(4000)])
+    b = theirs.hypergeometric(good, bad, draws, 4000)
+    assert abs(a.mean() - b.mean()) < 5 * b.std() / 4000**0.5 + 1e-9 and abs(a.std() / b.std() - 1) < 0.1
+    assert a.min() >= max(0, draws - bad) and a.max() <= min(good, draws)
+
+
+def test_draws_are_one_method_at_all_sizes():
+    for n in (10**8, 10**9 - 1, 10**9, 10**10):
+        k = np.array([M.hypergeometric(n, 3 * n, n, np.random.default_rng(i)) for i in range(20)])
+        sd = (n * 0.25 * 0.75 * 0.75) ** 0.5
+        assert (abs(k - n / 4) < 6 * sd).all() and 0.4 * sd < k.std() < 2 * sd
+    assert M.hypergeometric(5, 0, 3, np.random.default_rng(0)) == 3 and M.hypergeometric(0, 5, 3, np.random.default_rng(0)) == 0
+    assert M.hypergeometric(4, 3, 7, np.random.default_rng(0)) == 4 and M.hypergeometric(0, 0, 0, np.random.default_rng(0)) == 0
+    known: dict = {}
+    totals = np.array([1000, 300, 7, 0])
+    for s in range(13):
+        a, b = M.shard_counts(totals, 13, 101, s, 3), M.shard_counts(totals, 13, 101, s, 3, known)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
 def test_fill_respects_caps():
     given = M.fill(np.array([0.5, 0.3, 0.2]), np.array([10.0, 1000, 1000]), 100)
     assert given[0] == 10 and abs(given.sum() - 100) < 1e-9 and abs(given[1] / given[2] - 1.5) < 1e-9
@@ -233,8 +256,9 @@ def test_mix_meets_shares_and_caps(spark):
     rows = [(i, s, text) for s, n in (("a", 60), ("b", 6), ("c", 30), (None, 4)) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 2), ("c", 0.1, 3), ("gone", 0.1, 5)], "source string, target_share double, max_repeats int")
-    mixed = M.mix(df, F.col("doc_id"), F.col("source"), F.col("text"), targets).cache()
-    shares = {r.source: r for r in M.reached(mixed, targets).collect()}
+    whole = M.mix(df, F.col("doc_id"), F.col("source"), F.col("text"), targets)
+    mixed = whole.rows.cache()
+    shares = {r.source: r for r in M.reached(whole).collect()}
     size = {r.source: r for r in M.capacities(M.source_sizes(M.token_counts(df, {"source": F.col("source")}, F.col("text"))), targets).collect()}
     assert {s for s, r in size.items() if r.short} == {"b", "gone"}
     assert shares["b"].repeats == 2 and shares["b"].tokens == size["b"].capacity and shares["gone"].tokens == 0
@@ -243,7 +267,10 @@ def test_mix_meets_shares_and_caps(spark):
     assert mixed.select("shard", "slot").distinct().count() == mixed.count()
     total = sum(r.size for r in M.source_sizes(M.token_counts(df, {"source": F.col("source")}, F.col("text"))).collect())
     assert abs(sum(r.tokens for r in shares.values()) / total - 1) < 0.08
-    none = M.mix(df.limit(0), F.col("doc_id"), F.col("source"), F.col("text"), targets)
+    assert {s: r.short for s, r in shares.items()} == {s: r.short for s, r in size.items()}
+    empty = M.mix(df.limit(0), F.col("doc_id"), F.col("source"), F.col("text"), targets)
+    assert M.reached(empty).where("short OR tokens > 0").count() == 0
+    none = empty.rows
     assert none.count() == 0
 
 
