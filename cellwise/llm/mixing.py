@@ -286,7 +286,7 @@ def mix(docs: DataFrame, doc_id: Column, source: Column, text: Column, targets:
     sizes = blocks.groupBy("source").agg(F.sum("n_tokens").alias("size"))
     planned = plan(blocks, sizes, targets)
     drawn = slots(docs.sparkSession, planned, seed)
-    return Mix(drawn.join(blocks, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "tokens"), planned)
+    return Mix(drawn.join(blocks.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "tokens"), planned)
 
 
 def reached(mixed: Mix) -> DataFrame:
