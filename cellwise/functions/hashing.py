@@ -6,10 +6,16 @@ extends its sign over all higher bits, that is the little-endian number of the e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A hash function of sketches: (key, row number) to a 64-bit whole number.
+HashFunction = Callable[[Column, Column], Column]
+
+
 def digest(key: Column, row: Column) -> Column:
     return F.sha2(F.concat(F.lpad(row.cast("string"), 5, "0"), key), 256)
 
@@ -31,9 +37,15 @@ def bucket(folded: Column, width: int) -> Column:
     return F.abs((folded / F.lit(9223372036854775807.0) * F.lit(float(width))).cast("bigint"))
 
 
-def spread(keys: DataFrame, key: str, rows: int, width: int, row: str = "row", col: str = "col") -> DataFrame:
-    """``keys`` once a hash row, with its ``row`` and ``col``. One digest and one fold a key and row, in separate projections."""
+def folded(keys: DataFrame, key: str, rows: int, row: str = "row", hash_function: HashFunction | None = None) -> DataFrame:
+    """``keys`` once a hash row, with its ``row`` and 64-bit ``_fold``. The default takes one digest and one fold a key and row, in separate projections."""
     long = keys.withColumn(row, F.explode(F.array(*[F.lit(i) for i in range(rows)])))
+    if hash_function is not None:
+        return long.withColumn("_fold", hash_function(F.col(key), F.col(row)).cast("bigint"))
     hashed = long.withColumn("_digest", digest(F.col(key), F.col(row)))
-    folded = hashed.withColumn("_fold", fold(F.col("_digest"))).drop("_digest")
-    return folded.withColumn(col, bucket(F.col("_fold"), width)).drop("_fold")
+    return hashed.withColumn("_fold", fold(F.col("_digest"))).drop("_digest")
+
+
+def spread(keys: DataFrame, key: str, rows: int, width: int, row: str = "row", col: str = "col", hash_function: HashFunction | None = None) -> DataFrame:
+    """``keys`` once a hash row, with its ``row`` and ``col``."""
+    return folded(keys, key, rows, row, hash_function).withColumn(col, bucket(F.col("_fold"), width)).drop("_fold")

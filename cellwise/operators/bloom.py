@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.functions.hashing import spread
+from cellwise.functions.hashing import HashFunction, spread
 
 #: Filters up to this number of bits are broadcast to membership tests (8 bytes a set bit).
 BROADCAST_BITS = 1_000_000
@@ -19,6 +19,7 @@ class BloomSizing:
     bits: int
     hashes: int
     expected: int
+    hash_function: HashFunction | None = None
 
     @staticmethod
     def of_bits_per_element(per_element: float, expected: int, hashes: int) -> BloomSizing:
@@ -43,7 +44,7 @@ class BloomSizing:
 
 
 def _bits(keys: DataFrame, key: str, sizing: BloomSizing) -> DataFrame:
-    placed = spread(keys, key, sizing.hashes, sizing.bits, "_row", "_col")
+    placed = spread(keys, key, sizing.hashes, sizing.bits, "_row", "_col", sizing.hash_function)
     return placed.withColumn("bit", F.abs(F.col("_col") % sizing.bits)).drop("_row", "_col")
 
 
@@ -52,6 +53,18 @@ def build(df: DataFrame, key: Column, sizing: BloomSizing) -> DataFrame:
     return _bits(df.select(key.alias("key")).where("key IS NOT NULL").distinct(), "key", sizing).select("bit").distinct()
 
 
+def to_words(filter_: DataFrame) -> DataFrame:
+    """(word, bits): the filter as 64-bit words; words without a set bit are left out."""
+    bit = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    return filter_.groupBy((F.col("bit") / 64).cast("bigint").alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def from_words(words: DataFrame) -> DataFrame:
+    """A filter (bit) from its 64-bit words (word, bits), as ``to_words`` writes them."""
+    places = words.select("word", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place")).where("(shiftrightunsigned(bits, place) & 1L) = 1")
+    return places.select((F.col("word") * 64 + F.col("place")).alias("bit")).distinct()
+
+
 def merge(*filters: DataFrame) -> DataFrame:
     out = filters[0]
     for f in filters[1:]:

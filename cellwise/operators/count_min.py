@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.functions.hashing import spread
+from cellwise.functions.hashing import HashFunction, bucket, folded, spread
 
 #: Counter tables up to this number of cells (16 bytes each) are broadcast to lookups.
 BROADCAST_CELLS = 500_000
@@ -19,10 +19,11 @@ BROADCAST_CELLS = 500_000
 
 @dataclass(frozen=True)
 class Sizing:
-    """``depth`` = ceil(ln 1/delta) rows of ``width`` = ceil(factor/epsilon) counters; factor 2 for counts, e for weights."""
+    """``depth`` = ceil(ln 1/delta) rows of ``width`` = ceil(factor/epsilon) counters; factor 2 for counts, e for weights. A ``hash_function`` replaces the default one."""
 
     depth: int
     width: int
+    hash_function: HashFunction | None = None
 
     @staticmethod
     def of(delta: float, epsilon: float, weighted: bool = False) -> Sizing:
@@ -53,13 +54,13 @@ def build(df: DataFrame, key: Column, sizing: Sizing, increment: Column | None =
 
 
 def from_counts(counts: DataFrame, sizing: Sizing) -> DataFrame:
-    return spread(counts, "key", sizing.depth, sizing.width).groupBy("row", "col").agg(F.sum("cnt").alias("cnt"))
+    return spread(counts, "key", sizing.depth, sizing.width, hash_function=sizing.hash_function).groupBy("row", "col").agg(F.sum("cnt").alias("cnt"))
 
 
 def build_weighted(df: DataFrame, key: Column, weight: Column, sizing: Sizing) -> DataFrame:
     """Weighted sketch (row, col, val) with double counters."""
     sums = df.select(key.alias("key"), weight.cast("double").alias("w")).where("key IS NOT NULL").groupBy("key").agg(F.sum("w").alias("val"))
-    return spread(sums, "key", sizing.depth, sizing.width).groupBy("row", "col").agg(F.sum("val").alias("val"))
+    return spread(sums, "key", sizing.depth, sizing.width, hash_function=sizing.hash_function).groupBy("row", "col").agg(F.sum("val").alias("val"))
 
 
 def merge(*sketches: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def lookup(sketch: DataFrame, keys: DataFrame, sizing: Sizing, key: str = "key",
     cells = sketch.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).alias("_val"))
     if sizing.depth * sizing.width <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    placed = spread(keys, key, sizing.depth, sizing.width, "_r", "_c")
+    placed = spread(keys, key, sizing.depth, sizing.width, "_r", "_c", sizing.hash_function)
     joined = placed.join(cells, (F.col("_r") == F.col("_row")) & (F.col("_c") == F.col("_col")), "left")
     others = [c for c in keys.columns if c != key]
     zero = F.lit(0).cast(dict(sketch.dtypes)[value])
@@ -89,18 +90,35 @@ def row_sum(sketch: DataFrame, row: int = 0) -> DataFrame:
 
 def dump(sketch: DataFrame, sizing: Sizing, pad: int = 4) -> DataFrame:
     """One text line a row: all counters, left-padded. For sketches that a line can hold."""
-    dense = sketch.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", "cnt"))).alias("m"))
-    cols = F.sequence(F.lit(0).cast("bigint"), F.lit(sizing.width - 1).cast("bigint"))
-    cell = F.transform(cols, lambda c: F.lpad(F.coalesce(F.try_element_at(F.col("m"), c), F.lit(0)).cast("string"), pad, " "))
-    return dense.select("row", F.array_join(cell, " ").alias("line"))
+    cols = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(sizing.width - 1).cast("bigint"))).alias("col")
+    every = sketch.select("row").distinct().select("row", cols, F.lit(0).cast("bigint").alias("cnt"))
+    filled = every.unionByName(sketch.select("row", "col", "cnt")).groupBy("row", "col").agg(F.sum("cnt").alias("cnt"))
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("col", "cnt"))), lambda e: F.lpad(e["cnt"].cast("string"), pad, " "))
+    return filled.groupBy("row").agg(F.array_join(cells, " ").alias("line"))
+
+
+def estimates_by_sizing(counts: DataFrame, sizings: list[Sizing]) -> DataFrame:
+    """(sizing, key, cnt, estimate): every key of ``counts`` (key, cnt) by a sketch of each size (its number in the list), of one hash a key and row for all sizes.
+
+    Sizes differ in depth and width only: a shallower sketch is the first rows of a deeper one.
+    """
+    hashed = folded(counts.select("key", "cnt"), "key", max(s.depth for s in sizings))
+    options = [F.struct(F.lit(i).alias("sizing"), bucket(F.col("_fold"), s.width).alias("col"), (F.col("row") < s.depth).alias("kept")) for i, s in enumerate(sizings)]
+    placed = hashed.select("key", "cnt", "row", F.explode(F.array(*options)).alias("o")).where("o.kept").select("key", "cnt", "row", "o.sizing", "o.col")
+    cells = placed.groupBy("sizing", "row", "col").agg(F.sum("cnt").alias("_val"))
+    return placed.join(cells, ["sizing", "row", "col"]).groupBy("sizing", "key").agg(F.first("cnt").alias("cnt"), F.min("_val").alias("estimate"))
 
 
 def error_profile(exact: DataFrame, estimated: DataFrame, bound: float) -> DataFrame:
     """One row comparing (key, cnt) with (key, estimate): totals, over- and under-estimates, and estimates beyond the bound."""
-    both = exact.join(estimated, "key")
+    return exact.join(estimated, "key").agg(*profile_columns(F.lit(bound)))
+
+
+def profile_columns(bound: Column) -> list[Column]:
+    """The aggregates of an error profile over rows with cnt and estimate."""
     off = F.col("estimate") - F.col("cnt")
     count = lambda c: F.sum(c.cast("bigint"))
-    return both.agg(
+    return [
         F.count(F.lit(1)).alias("n_keys"), F.sum("cnt").alias("total"), F.sum("estimate").alias("estimated_total"), F.max(off).alias("max_error"),
-        count(off > 0).alias("n_over"), count(off < 0).alias("n_under"), count(off > F.lit(bound)).alias("n_beyond_bound"),
-    )
+        count(off > 0).alias("n_over"), count(off < 0).alias("n_under"), count(off > bound).alias("n_beyond_bound"),
+    ]

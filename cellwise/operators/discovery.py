@@ -5,7 +5,7 @@ Cells are whole-number coordinates ``g0, g1, ..`` at a precision; their text key
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 from cellwise.functions import vectors as V
 from cellwise.operators import count_min as C
 from cellwise.operators import grid as G
+from cellwise.session import broadcast_if_small
+
+#: A normalizer: (value, precision) to the whole-number coordinate of its cell.
+Normalizer = Callable[[Column, int], Column]
+#: A discovery strategy: (sketch, observed cells, precision, sizing) to weighted cells (g.., cnt).
+DiscoveryStrategy = Callable[[DataFrame, DataFrame, int, C.Sizing], DataFrame]
 
 
 def coordinates(n: int) -> list[str]:
     return [f"g{i}" for i in range(n)]
 
 
-def to_cells(df: DataFrame, columns: Sequence[Column], precision: int) -> DataFrame:
+def to_cells(df: DataFrame, columns: Sequence[Column], precision: int, normalizer: Normalizer = G.grid_index) -> DataFrame:
     """Whole-number coordinates of every row without nulls."""
     names = coordinates(len(columns))
-    rows = df.select(*[G.grid_index(c, precision).alias(n) for c, n in zip(columns, names, strict=True)])
+    rows = df.select(*[normalizer(c, precision).alias(n) for c, n in zip(columns, names, strict=True)])
     return rows.where(" AND ".join(f"{n} IS NOT NULL" for n in names))
 
 
@@ -66,10 +72,21 @@ def by_heavy_hitters(sketch: DataFrame, cells: DataFrame, precision: int, sizing
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cnt").desc(), "key")))  # k rows
 
 
+def random_cells(spark: SparkSession, dims: int, n: int, precision: int, seed: int) -> DataFrame:
+    """``n`` cells of [-1, 1]^dims, drawn with repeats: coordinate d of draw i is the upper half of a 31-bit product of two whole numbers made of i, d and the seed."""
+    side, m = 10**precision, 2**31 - 1
+    drawn = spark.range(n)
+    columns = []
+    for d in range(dims):
+        a = F.pmod((F.col("id") + 1) * F.lit(48271 + 2 * d) + F.lit(seed * 69621 + d), F.lit(m))
+        b = F.pmod(a * F.lit(16807), F.lit(m))
+        columns.append((F.floor(F.pmod(b * F.lit(39373), F.lit(m)) * F.lit(2 * side + 1) / F.lit(m)) - side).cast("bigint").alias(f"g{d}"))
+    return drawn.select(*columns)
+
+
 def by_random_points(spark: SparkSession, sketch: DataFrame, dims: int, n: int, precision: int, sizing: C.Sizing, seed: int) -> DataFrame:
     """Estimates of ``n`` random cells of [-1, 1]^dims; a cell that is drawn twice comes twice."""
-    side = 10**precision
-    drawn = spark.range(n).select(*[F.floor(F.rand(seed + d) * F.lit(2 * side + 1) - side).alias(f"g{d}") for d in range(dims)])
+    drawn = random_cells(spark, dims, n, precision, seed)
     times = drawn.groupBy(*drawn.columns).agg(F.count(F.lit(1)).alias("times"))
     keyed = times.withColumn("key", cell_key(drawn.columns, precision))
     found = C.lookup(sketch, keyed, sizing, "key", out="cnt")
@@ -88,7 +105,7 @@ def heavy_hitter_grid(enumerated: DataFrame, hitters: DataFrame) -> DataFrame:
     same = F.lit(True)
     for n in names:
         same = same & (F.col(n) == F.col(f"_{n}"))
-    joined = enumerated.join(F.broadcast(hh), same, "left")  # at most k rows
+    joined = enumerated.join(broadcast_if_small(hh), same, "left")
     return joined.select(*names, "cnt", F.coalesce("_cnt", F.lit(0)).alias("hh_cnt"), F.when(F.col("_cnt").isNotNull(), F.col("cnt")).otherwise(F.lit(0)).alias("hh_estimate"))
 
 

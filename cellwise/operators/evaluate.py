@@ -22,6 +22,13 @@ def precision_recall(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, tp + fn), "accuracy": F.try_divide(tp + tn, F.col("n"))})
 
 
+def truth_join(predictions: DataFrame, truth: DataFrame, id_: str, predicted: str, actual: str) -> DataFrame:
+    """(id, predicted, actual): predictions with the truth of the same id, however both are ordered. Predictions without a truth are left out; an id that the truth
+    has several times takes its smallest one."""
+    known = truth.where(F.col(actual).isNotNull()).groupBy(F.col(id_).alias("_id")).agg(F.min(actual).alias("actual"))
+    return predictions.select(F.col(id_).alias("_own"), F.col(predicted).alias("predicted")).join(known, F.col("_own") == F.col("_id")).select(F.col("_own").alias(id_), "predicted", "actual")
+
+
 def accuracy(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     """Share of rows whose prediction is the label; rows with a null label do not count, a null prediction is wrong."""
     return df.where(actual.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce((predicted == actual).cast("double"), F.lit(0.0))).alias("accuracy"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellwise.functions.scalar import gini, split_quality
 from cellwise.operators import bloom as B
-from cellwise.session import broadcast_if_small, stage
+from cellwise.session import broadcast_if_small, drop_staged, stage
 
 NODE_SCHEMA = "tree int, node bigint, feature int, split double, label int, bag_size bigint"
 
@@ -70,74 +70,75 @@ def grow(
     is left; its label is the most frequent, ties to the smallest. Samples with null label or features are left out.
     """
     spark = samples.sparkSession
-    base = samples.where("label IS NOT NULL AND features IS NOT NULL").select("sample", "label", "features")
-    bag = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(0).cast("bigint")).withColumn("used", F.array().cast("array<int>"))
-    options = candidates.where(F.col("feature") < n_features).select(F.col("feature").cast("int").alias("feature"), "candidates")
-    every = F.sort_array(F.collect_list(F.struct("feature", "candidates")))
-    found = options.agg(every.alias("pool")).first()["pool"]  # n_features times the candidates of one feature: a size set by parameters
-    pool = F.array(*[F.struct(F.lit(f).alias("feature"), F.array(*[F.lit(float(c)) for c in cs]).alias("candidates")) for f, cs in found])
-    if not found:
-        pool = F.array().cast("array<struct<feature:int,candidates:array<double>>>")
+    base = stage(samples.where("label IS NOT NULL AND features IS NOT NULL").select("sample", "label", "features"), "samples")
+    options = candidates.where(F.col("feature") < n_features).select(F.col("feature").cast("int").alias("feature"), F.col("candidates").cast("array<double>").alias("candidates"))
+    pool = options.agg(F.sort_array(F.collect_list(F.struct("feature", "candidates"))).alias("pool"))  # one row: n_features times the candidates of one feature, set by parameters
+    # the places of samples in trees hold no features, so a tree costs 20 bytes a sample and not a copy of it
+    bag = stage(base.select("sample", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("bigint").alias("node")), "bag")
+    open_ = spark.range(trees).select(F.col("id").cast("int").alias("tree"), F.lit(0).cast("bigint").alias("node"), F.array().cast("array<int>").alias("used"))
+    found = pool.first()["pool"]
+    choices = F.array(*[F.struct(F.lit(f).alias("feature"), F.array(*[F.lit(float(c)) for c in cs]).alias("candidates")) for f, cs in found]) if found else F.array()
+    choices = choices.cast("array<struct<feature:int,candidates:array<double>>>")
+    everyone = F.array(F.struct(F.lit(-1).alias("feature"), F.array(F.lit(None).cast("double")).alias("candidates")))  # counts the node itself
     nodes: list[DataFrame] = []
     for depth in range(max_depth + 1):
-        bag = stage(bag, "bag")
-        if bag.limit(1).count() == 0:
-            break
         # the draw: features not used above, by a seeded hash
         order = lambda e: F.struct(F.xxhash64(F.lit(seed), F.col("tree"), F.col("node"), e["feature"]).alias("h"), e["feature"].alias("feature"), e["candidates"].alias("candidates"))
-        heads = bag.groupBy("tree", "node").agg(F.first("used").alias("used"), F.count(F.lit(1)).alias("bag_size"))
-        drawn = heads.select(
-            "tree", "node", "bag_size", F.slice(F.sort_array(F.transform(F.filter(pool, lambda e: ~F.array_contains("used", e["feature"])), order)), 1, per_node).alias("draw")
-        )
-        label_counts = bag.groupBy("tree", "node", "label").agg(F.count(F.lit(1)).alias("n"))
-        major = label_counts.groupBy("tree", "node").agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("l"))).alias("major"))
-        drawn = stage(drawn.join(major, ["tree", "node"]), "drawn")
-        best = None
-        if depth < max_depth:
-            tried = bag.select("tree", "node", "sample", "label", "features").join(drawn.select("tree", "node", "draw"), ["tree", "node"])
-            tried = tried.select("tree", "node", "label", "features", F.explode("draw").alias("d")).select("tree", "node", "label", F.col("d.feature").alias("feature"), F.get("features", F.col("d.feature")).alias("value"), F.explode("d.candidates").alias("candidate"))
-            low = F.col("value") <= F.col("candidate")
-            counts = tried.where("value IS NOT NULL").groupBy("tree", "node", "feature", "candidate", "label").agg(F.sum(low.cast("bigint")).alias("n_left"), F.sum((~low).cast("bigint")).alias("n_right"))
-            quality = node_quality(counts, n_labels, corrected)
-            pick = F.struct("quality", (-F.col("feature")).alias("f"), (-F.col("candidate")).alias("c"))
-            best = quality.groupBy("tree", "node").agg(F.max_by(F.struct("feature", "candidate", "left", "right"), pick).alias("b")).where(f"b.left >= {least} AND b.right >= {least}")
-            best = stage(best.select("tree", "node", "b.feature", "b.candidate"), "best")
-            joined = drawn.join(best, ["tree", "node"], "left")
-        else:
-            joined = drawn.withColumn("feature", F.lit(None).cast("int")).withColumn("candidate", F.lit(None).cast("double"))
+        free = F.filter(choices, lambda e: ~F.array_contains("used", e["feature"]))
+        drawn = F.transform(F.slice(F.sort_array(F.transform(free, order)), 1, per_node), lambda e: F.struct(e["feature"].alias("feature"), e["candidates"].alias("candidates")))
+        draw = (F.concat(everyone, drawn) if depth < max_depth else everyone).alias("draw")
+        level = broadcast_if_small(open_.select("tree", "node", draw))
+        tried = bag.join(base, "sample").join(level, ["tree", "node"]).select("tree", "node", "label", "features", F.explode("draw").alias("d"))
+        tried = tried.select("tree", "node", "label", F.col("d.feature").alias("feature"), F.get("features", F.col("d.feature")).alias("value"), F.explode("d.candidates").alias("candidate"))
+        low = (F.col("feature") < 0) | (F.col("value") <= F.col("candidate"))
+        kept = tried.where("feature < 0 OR value IS NOT NULL").groupBy("tree", "node", "feature", "candidate", "label")
+        counts = stage(kept.agg(F.sum(low.cast("bigint")).alias("n_left"), F.sum((~low).cast("bigint")).alias("n_right")), "counts")
+        best_label = F.max_by("label", F.struct("n_left", (-F.col("label")).alias("l"))).alias("major")
+        heads = counts.where("feature < 0").groupBy("tree", "node").agg(best_label, F.sum("n_left").alias("bag_size"))
+        pick = F.struct("quality", (-F.col("feature")).alias("f"), (-F.col("candidate")).alias("c"))
+        quality = node_quality(counts.where("feature >= 0"), n_labels, corrected)
+        best = quality.groupBy("tree", "node").agg(F.max_by(F.struct("feature", "candidate", "left", "right"), pick).alias("b")).where(f"b.left >= {least} AND b.right >= {least}")
+        best = stage(best.select("tree", "node", "b.feature", "b.candidate"), "best")
+        joined = heads.join(best, ["tree", "node"], "left")
         inner = F.col("feature").isNotNull()
-        nodes.append(joined.select(
+        nodes.append(stage(joined.select(
             "tree", "node", F.when(inner, F.col("feature")).otherwise(F.lit(-1)).alias("feature"), F.col("candidate").alias("split"),
             F.when(inner, F.lit(-1)).otherwise(F.col("major")).cast("int").alias("label"), "bag_size",
-        ))
-        if best is None:
+        ), "nodes"))
+        drop_staged(counts)
+        if depth == max_depth or best.limit(1).count() == 0:
             break
-        down = bag.join(best, ["tree", "node"]).where(F.get("features", F.col("feature")).isNotNull())
+        down = bag.join(base.select("sample", "features"), "sample").join(broadcast_if_small(best), ["tree", "node"]).where(F.get("features", F.col("feature")).isNotNull())
         right = (F.get("features", F.col("feature")) > F.col("candidate")).cast("bigint")
-        bag = down.select("sample", "label", "features", "tree", (F.col("node") * 2 + 1 + right).alias("node"), F.concat("used", F.array("feature")).alias("used"))
+        moved = stage(down.select("sample", "tree", (F.col("node") * 2 + 1 + right).alias("node")), "bag")
+        kids = open_.join(best, ["tree", "node"]).select("tree", F.explode(F.array(F.col("node") * 2 + 1, F.col("node") * 2 + 2)).alias("node"), F.concat("used", F.array("feature")).alias("used"))
+        kids = stage(kids, "open")
+        drop_staged(bag, open_, best)
+        bag, open_ = moved, kids
+    drop_staged(bag, base)
     out = spark.createDataFrame([], NODE_SCHEMA)
     for part in nodes:
         out = out.unionByName(part)
     return out
 
 
-def predict(samples: DataFrame, nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(sample, tree, label): every sample walked down every tree, a level at a time. A missing value goes left."""
-    trees = [r["tree"] for r in nodes.where("node = 0").select("tree").distinct().collect()]  # the number of trees is a parameter of the forest
-    state = samples.select("sample", "features", F.explode(F.array(*[F.lit(t) for t in sorted(trees)]).cast("array<int>")).alias("tree")).withColumn("node", F.lit(0).cast("bigint"))
-    done: list[DataFrame] = []
-    for _ in range(max_depth):
-        at = state.join(nodes.select("tree", "node", "feature", "split", "label"), ["tree", "node"])
-        at = stage(at, "walk")
-        done.append(at.where("feature < 0").select("sample", "tree", "label"))
+def predict(samples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sample, tree, label): every sample walked down every tree, a level at a time. A missing value goes left. ``nodes`` should be staged.
+
+    With nodes that may be broadcast (their number is counted) a walk is a chain of hash lookups without a shuffle; larger forests are joined by (tree, node).
+    """
+    deepest = nodes.agg(F.max("node").alias("node")).first()["node"]
+    if deepest is None:
+        return samples.select("sample", F.lit(None).cast("int").alias("tree"), F.lit(None).cast("int").alias("label")).limit(0)
+    level = broadcast_if_small(nodes.select("tree", "node", "feature", "split", F.col("label").alias("leaf")))
+    trees = nodes.where("node = 0").agg(F.sort_array(F.collect_set("tree")).alias("trees")).first()["trees"]  # the number of trees is a parameter of the forest
+    walk = samples.select("sample", "features", F.explode(F.array(*[F.lit(t) for t in trees]).cast("array<int>")).alias("tree"), F.lit(0).cast("bigint").alias("node"), F.lit(None).cast("int").alias("label"))
+    for _ in range((int(deepest) + 1).bit_length()):
+        at = walk.join(level, ["tree", "node"], "left")
         right = F.coalesce((F.get("features", F.col("feature")) > F.col("split")).cast("bigint"), F.lit(0))
-        state = at.where("feature >= 0").select("sample", "features", "tree", (F.col("node") * 2 + 1 + right).alias("node"))
-        if state.limit(1).count() == 0:
-            break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        inner = F.col("feature") >= 0
+        walk = at.select("sample", "features", "tree", F.when(inner, F.col("node") * 2 + 1 + right).alias("node"), F.coalesce("label", F.when(~inner, F.col("leaf"))).alias("label"))
+    return walk.where("label IS NOT NULL").select("sample", "tree", "label")
 
 
 def tree_text(nodes: DataFrame) -> DataFrame:

@@ -80,5 +80,9 @@ def init_heaviest(cells: DataFrame, xs: Sequence[str], weight: str, k: int) -> C
     return {i: [float(v) for v in r] for i, r in enumerate(rows, 1)}
 
 
-def init_frame(df: DataFrame, id_: str, xs: Sequence[str]) -> Centers:
-    return {r[id_]: [float(r[x]) for x in xs] for r in df.select(id_, *xs).collect()}
+def init_frame(df: DataFrame, id_: str, xs: Sequence[str], most: int = 10_000) -> Centers:
+    """Centers from a table with one row a center; more than ``most`` rows are an error, as centers become literals of the plan."""
+    rows = df.select(id_, *xs).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} centers")
+    return {r[id_]: [float(r[x]) for x in xs] for r in rows}

@@ -7,9 +7,10 @@ an iteration. Cells are (y, x.., cnt) with an intercept put in front of x.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +33,71 @@ class Trace:
         return self.steps[-1]
 
 
+@dataclass(frozen=True)
+class Model:
+    """A fitted model: parameters with the intercept first. ``predict`` is a column expression, so it runs wherever rows are; ``gradient`` is one aggregate."""
+
+    theta: Sequence[float]
+
+    def linear_part(self, xs: Sequence[Column]) -> Column:
+        out = F.lit(float(self.theta[0]))
+        for x, t in zip(xs, self.theta[1:], strict=True):
+            out = out + x.cast("double") * F.lit(float(t))
+        return out
+
+    def predict(self, xs: Sequence[Column]) -> Column:
+        raise NotImplementedError
+
+    def gradient(self, cells: DataFrame, y: Column, xs: Sequence[Column], weight: Column) -> DataFrame:
+        """One row: g_d = sum((y - prediction) x_d w) / sum w. Both models below share this form."""
+        cols = [F.lit(1.0), *[x.cast("double") for x in xs]]
+        off = (y.cast("double") - self.predict(xs)) * weight
+        return cells.agg(*[(F.sum(off * c) / F.sum(weight.cast("double"))).alias(f"g{d}") for d, c in enumerate(cols)])
+
+
+class LinearModel(Model):
+    def predict(self, xs: Sequence[Column]) -> Column:
+        return self.linear_part(xs)
+
+
+class LogisticModel(Model):
+    def predict(self, xs: Sequence[Column]) -> Column:
+        """The probability of 1."""
+        return sigmoid(self.linear_part(xs))
+
+
+#: A learning function: (cells, y, xs, weight) to the models of all steps.
+LearningFunction = Callable[[DataFrame, Column, Sequence[Column], Column], Trace]
+
+
+def descend(kind: type[Model], cells: DataFrame, y: Column, xs: Sequence[Column], weight: Column, start: Sequence[float] | None = None, rate: float = 0.5, steps: int = 10) -> Trace:
+    """theta <- theta + rate * gradient of any model. ``cells`` should be small or staged: it is read once a step. Stops where there is no weight."""
+    theta = [1.0] * (len(xs) + 1) if start is None else list(start)
+    out = [list(theta)]
+    for _ in range(steps):
+        g = kind(theta).gradient(cells, y, xs, weight).first()
+        if any(v is None or math.isnan(v) for v in g):
+            break
+        theta = [t + rate * v for t, v in zip(theta, g, strict=True)]
+        out.append(list(theta))
+    return Trace(out)
+
+
 def moments(cells: DataFrame, y: Column, xs: Sequence[Column], weight: Column) -> DataFrame:
     """One row: n = sum w, and the weighted sums s_jk of x_j x_k (x_0 = 1) and t_j of x_j y. Rows with a null in any of them are left out."""
+    aggs, names = moment_columns(y, xs, weight)
+    return cells.select(*names).dropna().agg(*aggs)
+
+
+def moment_columns(y: Column, xs: Sequence[Column], weight: Column) -> tuple[list[Column], list[Column]]:
+    """The aggregates of ``moments``, and the columns they are taken over."""
     cols = [F.lit(1.0), *[x.cast("double") for x in xs]]
-    rows = cells.select(y.cast("double").alias("_y"), weight.cast("double").alias("_w"), *[c.alias(f"_x{i}") for i, c in enumerate(cols)])
-    rows = rows.dropna()
+    names = [y.cast("double").alias("_y"), weight.cast("double").alias("_w"), *[c.alias(f"_x{i}") for i, c in enumerate(cols)]]
     n = len(cols)
     aggs = [F.sum(F.col("_w")).alias("n")]
     aggs += [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}") * F.col("_w")).alias(f"s_{i}_{j}") for i in range(n) for j in range(i, n)]
     aggs += [F.sum(F.col(f"_x{i}") * F.col("_y") * F.col("_w")).alias(f"t_{i}") for i in range(n)]
-    return rows.agg(*aggs)
+    return aggs, names
 
 
 def descend_linear(m: dict[str, float], start: Sequence[float], rate: float, steps: int) -> Trace:
@@ -62,25 +118,30 @@ def linear(cells: DataFrame, y: Column, xs: Sequence[Column], weight: Column, st
     return descend_linear({k: v or 0.0 for k, v in row.items()}, start, rate, steps)
 
 
-def logistic_gradient(cells: DataFrame, y: Column, xs: Sequence[Column], weight: Column, theta: Sequence[float]) -> DataFrame:
-    """One row: g_d = sum((y - p) x_d w) / sum w."""
-    cols = [F.lit(1.0), *[x.cast("double") for x in xs]]
-    z = F.lit(0.0)
-    for c, t in zip(cols, theta, strict=True):
-        z = z + c * F.lit(t)
-    off = (y.cast("double") - sigmoid(z)) * weight
-    return cells.agg(*[(F.sum(off * c) / F.sum(weight.cast("double"))).alias(f"g{d}") for d, c in enumerate(cols)])
+def logistic(cells: DataFrame, y: Column, xs: Sequence[Column], weight: Column, start: Sequence[float] | None = None, rate: float = 0.5, steps: int = 10) -> Trace:
+    return descend(LogisticModel, cells, y, xs, weight, start, rate, steps)
 
 
-def logistic(cells: DataFrame, y: Column, xs: Sequence[Column], weight: Column, start: Sequence[float] | None = None, rate: float = 0.5, steps: int = 10) -> Trace:
-    """theta <- theta + rate * gradient. ``cells`` should be small or cached: it is read once a step."""
-    theta = [1.0] * (len(xs) + 1) if start is None else list(start)
+def logistic_newton(cells: DataFrame, y: Column, xs: Sequence[Column], weight: Column, steps: int = 8) -> Trace:
+    """Maximum likelihood of the logistic model by Newton steps from 0, as a binomial GLM is fitted: gradient and Hessian are one aggregate a step.
+
+    Stops where there is no weight or the Hessian cannot be inverted.
+    """
+    cols = [F.lit(1.0), *[x.cast("double") for x in xs]]
+    n = len(cols)
+    theta = [0.0] * n
     out = [list(theta)]
     for _ in range(steps):
-        g = logistic_gradient(cells, y, xs, weight, theta).first()
-        if any(v is None or math.isnan(v) for v in g):
+        p = LogisticModel(theta).predict(xs)
+        off, spread_ = (y.cast("double") - p) * weight, p * (1 - p) * weight
+        row = cells.agg(*[F.sum(off * c).alias(f"g{d}") for d, c in enumerate(cols)], *[F.sum(spread_ * cols[i] * cols[j]).alias(f"h{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+        if any(v is None or math.isnan(v) for v in row):
+            break
+        hessian = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+        try:
+            theta = (np.array(theta) + np.linalg.solve(hessian, np.array([row[f"g{d}"] for d in range(n)]))).tolist()
+        except np.linalg.LinAlgError:
             break
-        theta = [t + rate * v for t, v in zip(theta, g, strict=True)]
         out.append(list(theta))
     return Trace(out)
 
@@ -98,5 +159,17 @@ def product_columns(y: Column, xs: Sequence[Column]) -> dict[str, Column]:
     return out
 
 
-def mean_of_workers(models: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return models.agg(*[F.avg(c).alias(c) for c in columns])
+def linear_by_worker(
+    cells: DataFrame, worker: Column, y: Column, xs: Sequence[Column], weight: Column, start: Sequence[float] | None = None, rate: float = 0.5, steps: int = 10, most: int = 10_000
+) -> tuple[dict, list[float]]:
+    """Every worker learns on its own cells; the models by worker, and the mean of the models. The cells are read once for all workers (a null worker is one).
+
+    More than ``most`` workers are an error: their moments come to the driver. Without cells the mean is the start.
+    """
+    start = [1.0] * (len(xs) + 1) if start is None else list(start)
+    aggs, names = moment_columns(y, xs, weight)
+    rows = cells.select(worker.alias("_worker"), *names).dropna(subset=[c for c in ("_y", "_w", *[f"_x{i}" for i in range(len(xs) + 1)])]).groupBy("_worker").agg(*aggs).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} workers")
+    models = {r["_worker"]: descend_linear({k: v or 0.0 for k, v in r.asDict().items() if k != "_worker"}, start, rate, steps).model for r in rows}
+    return models, [sum(m[d] for m in models.values()) / len(models) for d in range(len(start))] if models else start

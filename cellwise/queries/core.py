@@ -18,9 +18,11 @@ from cellwise.operators import kmeans as K
 from cellwise.operators import parzen as P
 from cellwise.operators import regression as R
 from cellwise.operators import topk as TK
+from cellwise.plans import pipelines as PL
 from cellwise.queries.general import P5_CTE
+from cellwise.session import scratch_path, stage, table
 from cellwise.sources import readers as IO
-from cellwise.session import stage, table
+from cellwise.sources import writers as W
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -193,15 +195,16 @@ def union_tagged(spark, sf):
     return IO.tagged(customer=c.select(F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("balance")), supplier=s.select(F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("balance"))).select("origin", "nationkey", "balance")
 
 
-CANDIDATES_SQL = "SELECT CAST(unnest(range(8)) AS INT) AS feature, [-0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE] AS candidates"
+CANDIDATES_SQL = "SELECT CAST(unnest(range(64)) AS INT) AS feature, [-0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE] AS candidates"
 
 
-def samples(spark, sf, n: int = 8) -> DataFrame:
+def samples(spark, sf) -> DataFrame:
+    """All 64 features of every embedding."""
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("sample"), "label", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, n).alias("features"))
+    return e.select(F.col("vec_id").alias("sample"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
-def fixed_candidates(spark, n: int = 8) -> DataFrame:
+def fixed_candidates(spark, n: int = 64) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("feature"), F.array(F.lit(-0.1), F.lit(0.0), F.lit(0.1)).alias("candidates"))
 
 
@@ -287,47 +290,71 @@ def cms_error_vs_exact(spark, sf):
 
 # -- Bloom filters ---------------------------------------------------------------------------------------------------------------
 
-BLOOM = B.BloomSizing.of_rate(0.02, 600)
-BLOOM_ROWS = C.Sizing(BLOOM.hashes, BLOOM.bits)
-BLOOM_KEYS_SQL = "SELECT DISTINCT CAST(user_id AS VARCHAR) || ' ' || event_type AS key FROM events WHERE event_type = 'purchase' OR event_type = 'error'"
-BLOOM_SQL = f"SELECT DISTINCT col % {BLOOM.bits} AS bit FROM ({hash_sql(BLOOM_KEYS_SQL, BLOOM_ROWS)})"
+BLOOM_RATE = 0.02
+BLOOM_KEYS_SQL = "SELECT DISTINCT CAST(user_id AS VARCHAR) || ' ' || event_type AS key FROM events WHERE user_id IS NOT NULL AND (event_type = 'purchase' OR event_type = 'error')"
+_HASHES = B.BloomSizing.of_rate(BLOOM_RATE, 1).hashes
 
 
-def bloom(spark, sf):
-    return B.build(table(spark, sf, "events").where("event_type IN ('purchase', 'error')"), event_key(), BLOOM)
+class _CountedRows:
+    """Hash rows of a filter sized for the counted keys, for ``hash_sql``."""
+
+    def __init__(self, keys: str, hashes: int) -> None:
+        self.depth, self.expected = hashes, f"(SELECT greatest(count(*), 1) FROM ({keys}))"
+        self.width = f"(SELECT CAST(ceil({hashes} / ln(2.0::DOUBLE) * {self.expected}) AS BIGINT))"
+
+
+BLOOM_ROWS = _CountedRows(BLOOM_KEYS_SQL, _HASHES)
+BLOOM_SQL = f"SELECT DISTINCT col % {BLOOM_ROWS.width} AS bit FROM ({hash_sql(BLOOM_KEYS_SQL, BLOOM_ROWS)})"
+
+
+def bloom_members(spark, sf) -> DataFrame:
+    """The keys in the filter: users that bought or met an error. The keys of all events are asked for, so the others are known not to be in it."""
+    rows = table(spark, sf, "events").where("event_type IN ('purchase', 'error')")
+    return rows.select(event_key().alias("key")).where("key IS NOT NULL").distinct()
+
+
+def bloom(spark, sf) -> tuple[DataFrame, B.BloomSizing]:
+    """The filter, sized for the counted number of its keys."""
+    members = stage(bloom_members(spark, sf), "members")
+    sizing = B.BloomSizing.of_rate(BLOOM_RATE, max(1, members.count()))
+    return B.build(members, F.col("key"), sizing), sizing
 
 
 @query(BLOOM_SQL)
 def bloom_build(spark, sf):
-    return bloom(spark, sf)
+    return bloom(spark, sf)[0]
 
 
-@query(f"SELECT key, bool_and(b.bit IS NOT NULL) AS maybe FROM ({hash_sql(KEYS_SQL, BLOOM_ROWS)}) k LEFT JOIN ({BLOOM_SQL}) b ON k.col % {BLOOM.bits} = b.bit GROUP BY 1")
-def bloom_contains(spark, sf):
-    return B.contains(bloom(spark, sf), table(spark, sf, "events").select(event_key().alias("key")).where("key IS NOT NULL").distinct(), BLOOM)
+@query(BLOOM_SQL)
+def bloom_words(spark, sf):
+    """The filter written as 64-bit words and made again from them."""
+    return B.from_words(B.to_words(bloom(spark, sf)[0]))
 
 
-@query(f"""SELECT {BLOOM.bits} AS bits, {BLOOM.hashes} AS hashes, round(pow(1 - exp(-{BLOOM.hashes} * 600.0::DOUBLE / {BLOOM.bits}), {BLOOM.hashes}), 9) AS expected_rate,
-  (SELECT count(*) FROM ({BLOOM_SQL})) AS n_bits, (SELECT bool_and(b.bit IS NOT NULL) FROM ({hash_sql(BLOOM_KEYS_SQL, BLOOM_ROWS)}) k LEFT JOIN ({BLOOM_SQL}) b ON k.col % {BLOOM.bits} = b.bit) AS all_maybe""")
-def bloom_fpp(spark, sf):
-    keys = table(spark, sf, "events").where("event_type IN ('purchase', 'error')").select(event_key().alias("key")).where("key IS NOT NULL").distinct()
-    every = B.contains_all(bloom(spark, sf), keys, BLOOM).scalar()
-    return B.set_bits(bloom(spark, sf)).select(F.lit(BLOOM.bits).alias("bits"), F.lit(BLOOM.hashes).alias("hashes"), F.lit(round(BLOOM.false_positive_rate(), 9)).alias("expected_rate"), "n_bits", every.alias("all_maybe"))
+@query(f"SELECT key, bool_and(b.bit IS NOT NULL) AS maybe FROM ({hash_sql(KEYS_SQL, BLOOM_ROWS)}) k LEFT JOIN ({BLOOM_SQL}) b ON k.col % {BLOOM_ROWS.width} = b.bit GROUP BY 1")
+def bloom_contains(spark, sf):
+    filter_, sizing = bloom(spark, sf)
+    return B.contains(filter_, table(spark, sf, "events").select(event_key().alias("key")).where("key IS NOT NULL").distinct(), sizing)
 
 
-SPLIT_BLOOM = B.BloomSizing.of_rate(0.01, 20_000)
-SPLIT_ROWS = C.Sizing(SPLIT_BLOOM.hashes, SPLIT_BLOOM.bits)
+@query(f"""SELECT {BLOOM_ROWS.width} AS bits, {_HASHES} AS hashes, round(pow(1 - exp(-{_HASHES} * {BLOOM_ROWS.expected}::DOUBLE / {BLOOM_ROWS.width}), {_HASHES}), 9) AS expected_rate,
+  (SELECT count(*) FROM ({BLOOM_SQL})) AS n_bits, (SELECT bool_and(b.bit IS NOT NULL) FROM ({hash_sql(BLOOM_KEYS_SQL, BLOOM_ROWS)}) k LEFT JOIN ({BLOOM_SQL}) b ON k.col % {BLOOM_ROWS.width} = b.bit) AS all_maybe""")
+def bloom_fpp(spark, sf):
+    filter_, sizing = bloom(spark, sf)
+    every = B.contains_all(filter_, bloom_members(spark, sf), sizing).scalar()
+    return B.set_bits(filter_).select(
+        F.lit(sizing.bits).cast("bigint").alias("bits"), F.lit(sizing.hashes).alias("hashes"), F.lit(round(sizing.false_positive_rate(), 9)).alias("expected_rate"), "n_bits", every.alias("all_maybe")
+    )
 
 
-@query(f"""WITH s AS MATERIALIZED (SELECT *, '(' || sample || ',' || feature || ',' || CAST(candidate AS VARCHAR) || ')' AS key FROM
-    (SELECT vec_id AS sample, label, feature, CAST(embedding[feature + 1] AS DOUBLE) AS value, unnest(candidates) AS candidate FROM embeddings, (SELECT * FROM ({CANDIDATES_SQL}) WHERE feature < 2))),
-  k AS MATERIALIZED ({hash_sql("SELECT * FROM s", SPLIT_ROWS, "sample, label, feature, candidate, value")}),
-  l AS (SELECT DISTINCT col FROM k WHERE value <= candidate), r AS (SELECT DISTINCT col FROM k WHERE value > candidate)
-  SELECT sample, label, feature, candidate, bool_and(l.col IS NOT NULL) AS goes_left, bool_and(r.col IS NOT NULL) AS goes_right FROM k LEFT JOIN l USING (col) LEFT JOIN r USING (col) GROUP BY 1, 2, 3, 4""")
+@query()
 def bloom_split_sides(spark, sf):
-    splits = RF.sample_splits(samples(spark, sf, 2), fixed_candidates(spark, 2))
-    left, right = RF.split_filters(splits, SPLIT_BLOOM)
-    return RF.filtered_sides(splits, left, right, SPLIT_BLOOM)
+    """Each sample, feature and candidate with the sides that two filters, sized for the counted splits, give it. Without a SQL twin: 192 hashed keys a sample are too
+    slow there; tested against the plain comparison."""
+    splits = RF.sample_splits(samples(spark, sf), fixed_candidates(spark))
+    sizing = B.BloomSizing.of_rate(0.01, max(1, splits.count()))
+    left, right = RF.split_filters(splits, sizing)
+    return RF.filtered_sides(splits, left, right, sizing)
 
 
 # -- grids and discovery ------------------------------------------------------------------------------------------------------------
@@ -364,7 +391,12 @@ def grid_matrix(spark, sf):
     return D.grid_matrix(D.by_enumeration(tax_sketch(spark, sf), tax_cells(spark, sf), 2, TAX_SIZING), "g0", "g1", "cnt")
 
 
-@query()
+_DRAW = "CAST(floor(((((id + 1) * (48271 + 2 * {d}) + 11 * 69621 + {d}) % 2147483647 * 16807 % 2147483647) * 39373 % 2147483647) * 201 / 2147483647) AS BIGINT) - 100 AS g{d}"
+RANDOM_SQL = f"SELECT {_DRAW.format(d=0)}, {_DRAW.format(d=1)} FROM (SELECT unnest(range(500)) AS id)"
+RANDOM_ENUM_SQL = estimates_sql(f"SELECT DISTINCT g0, g1, {TAX_KEY_SQL} AS key FROM ({RANDOM_SQL})", TAX_SKETCH_SQL, TAX_SIZING, "g0, g1")
+
+
+@query(f"SELECT g0, g1, cnt FROM ({RANDOM_SQL}) JOIN ({RANDOM_ENUM_SQL}) USING (g0, g1)")
 def discover_random(spark, sf):
     return D.by_random_points(spark, tax_sketch(spark, sf), 2, 500, 2, TAX_SIZING, 11)
 
@@ -439,6 +471,78 @@ def logistic_gd_hh(spark, sf):
     return trace.frame(spark).select("step", *[F.round(f"theta{d}", 9).alias(f"theta{d}") for d in (0, 1)])
 
 
+def _logit_cells(spark, sf) -> DataFrame:
+    y = F.when(F.col("l_returnflag") == "R", F.lit(1)).when(F.col("l_returnflag").isNotNull(), F.lit(0))
+    return D.to_cells(table(spark, sf, "lineitem"), [y, F.col("l_quantity") / 50], 2)
+
+
+def _logit_trace(spark, found: DataFrame, steps: int = 6) -> DataFrame:
+    trace = R.logistic(stage(found.select("g0", "g1", "cnt"), "cells"), F.col("g0") / 100.0, [F.col("g1") / 100.0], F.col("cnt"), steps=steps)
+    return trace.frame(spark).select("step", *[F.round(f"theta{d}", 9).alias(f"theta{d}") for d in (0, 1)])
+
+
+@query(_logit_sql(LOGIT_COUNTS_SQL, 6))
+def logistic_gd_exact(spark, sf):
+    return _logit_trace(spark, D.cell_counts(_logit_cells(spark, sf)))
+
+
+LOGIT_ENUM_SQL = estimates_sql(TAX_BOX_SQL.replace(TAX_CELLS_SQL, LOGIT_CELLS_SQL), LOGIT_SKETCH_SQL, REG_SIZING, "g0, g1")
+
+
+@query(_logit_sql(LOGIT_ENUM_SQL, 6))
+def logistic_gd_enum(spark, sf):
+    cells = _logit_cells(spark, sf)
+    return _logit_trace(spark, D.by_enumeration(D.sketch_cells(cells, 2, REG_SIZING), cells, 2, REG_SIZING))
+
+
+def _newton_sql(cells: str, steps: int) -> str:
+    out = f"WITH c AS MATERIALIZED (SELECT g0 / 100::DOUBLE AS y, g1 / 100::DOUBLE AS x, cnt FROM ({cells})), s0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"
+    p = "(1.0::DOUBLE / (1.0::DOUBLE + exp(-(a + x * b))))"
+    for i in range(1, steps + 1):
+        out += f""", m{i} AS MATERIALIZED (SELECT any_value(a) AS a, any_value(b) AS b, sum((y - {p}) * cnt) AS g, sum((y - {p}) * cnt * x) AS h, sum({p} * (1 - {p}) * cnt) AS u,
+          sum({p} * (1 - {p}) * cnt * x) AS v, sum({p} * (1 - {p}) * cnt * x * x) AS w FROM c, s{i - 1}), s{i} AS MATERIALIZED (SELECT a + (w * g - v * h) / (u * w - v * v) AS a, b + (u * h - v * g) / (u * w - v * v) AS b FROM m{i})"""
+    return out + " " + " UNION ALL ".join(f"SELECT {i} AS step, round(a, 7) AS theta0, round(b, 7) AS theta1 FROM s{i}" for i in range(steps + 1))
+
+
+@query(_newton_sql(LOGIT_COUNTS_SQL, 4))
+def logistic_newton(spark, sf):
+    cells = stage(D.cell_counts(_logit_cells(spark, sf)), "cells")
+    trace = R.logistic_newton(cells, F.col("g0") / 100.0, [F.col("g1") / 100.0], F.col("cnt"), 4)
+    return trace.frame(spark).select("step", *[F.round(f"theta{d}", 7).alias(f"theta{d}") for d in (0, 1)])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(theta0 + theta1 * (l_quantity / 50), 6) AS predicted FROM lineitem, (SELECT * FROM ({GD_SQL.format(cells=REG_COUNTS_SQL)}) WHERE step = 20)")
+def linear_predict(spark, sf):
+    """Every row by the model learned from the exact cells."""
+    trace = R.linear(D.cell_counts(regression_cells(spark, sf)), F.col("g0") / 100.0, [F.col("g1") / 100.0], F.col("cnt"), steps=20)
+    model = R.LinearModel([round(t, 9) for t in trace.model])
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(model.predict([F.col("l_quantity") / 50]), 6).alias("predicted"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(theta0 + theta1 * (l_quantity / 50)))), 6) AS predicted FROM lineitem, (SELECT * FROM ({_logit_sql(LOGIT_COUNTS_SQL, 6)}) WHERE step = 6)")
+def logistic_predict(spark, sf):
+    """The probability of every row by the model learned from the exact cells."""
+    cells = stage(D.cell_counts(_logit_cells(spark, sf)), "cells")
+    trace = R.logistic(cells, F.col("g0") / 100.0, [F.col("g1") / 100.0], F.col("cnt"), steps=6)
+    model = R.LogisticModel([round(t, 9) for t in trace.model])
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(model.predict([F.col("l_quantity") / 50]), 6).alias("predicted"))
+
+
+WORKER_CELLS_SQL = "SELECT CAST(l_linenumber AS INT) AS worker, CAST(floor(l_extendedprice / 100000 * 100 + 0.5) AS BIGINT) AS g0, CAST(floor(l_quantity / 50 * 100 + 0.5) AS BIGINT) AS g1 FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL"
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT worker, count(*)::DOUBLE AS n, count(*)::DOUBLE AS s_0_0, sum(g1 / 100::DOUBLE) AS s_0_1, sum((g1 / 100::DOUBLE) * (g1 / 100::DOUBLE)) AS s_1_1, sum(g0 / 100::DOUBLE) AS t_0,
+    sum((g1 / 100::DOUBLE) * (g0 / 100::DOUBLE)) AS t_1 FROM ({WORKER_CELLS_SQL}) GROUP BY 1), d(worker, step, a, b) AS (SELECT worker, 0, 1.0::DOUBLE, 1.0::DOUBLE FROM m UNION ALL
+  SELECT d.worker, step + 1, a - 0.5::DOUBLE * (s_0_0 * a + s_0_1 * b - t_0) / n, b - 0.5::DOUBLE * (s_0_1 * a + s_1_1 * b - t_1) / n FROM d JOIN m ON d.worker = m.worker WHERE step < 10)
+  SELECT worker, round(a, 7) AS theta0, round(b, 7) AS theta1 FROM d WHERE step = 10 UNION ALL SELECT NULL, round(avg(a), 7), round(avg(b), 7) FROM d WHERE step = 10""")
+def linear_workers(spark, sf):
+    """The models that the workers learn on their own rows, and (worker null) their mean."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("worker"), G.grid_index(F.col("l_extendedprice") / 100000, 2).alias("g0"), G.grid_index(F.col("l_quantity") / 50, 2).alias("g1"))
+    models, mean = R.linear_by_worker(rows, F.col("worker"), F.col("g0") / 100.0, [F.col("g1") / 100.0], F.lit(1.0), steps=10)
+    out = [(w, *[round(t, 7) for t in m]) for w, m in [*models.items(), (None, mean)]]
+    return spark.createDataFrame(out, "worker int, theta0 double, theta1 double")
+
+
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, regr_count(l_extendedprice, l_quantity)::BIGINT AS n FROM lineitem")
 def regr_closed_form(spark, sf):
     f = R.closed_form(table(spark, sf, "lineitem"), F.col("l_extendedprice"), F.col("l_quantity"))
@@ -466,6 +570,7 @@ def _kmeans_sql(cells: str, iterations: int) -> str:
 
 
 def kmeans_cells(spark, sf):
+    """The first two coordinates: a grid that is enumerated has few axes. All 64 are in kmeans_exact_wide."""
     e = lambda i: F.col("embedding")[i].cast("double")
     return D.to_cells(table(spark, sf, "embeddings"), [e(0), e(1)], 2)
 
@@ -476,10 +581,31 @@ def _kmeans(spark, cells: DataFrame) -> DataFrame:
     return K.frame(spark, centers).select("id", F.round("x0", 9).alias("x0"), F.round("x1", 9).alias("x1"))
 
 
-@query(f"WITH c AS ({' UNION ALL '.join(f'SELECT {i} AS id, {c[0]}::DOUBLE AS x, {c[1]}::DOUBLE AS y' for i, c in START.items())}) SELECT vec_id, arg_min(id, ((a * 100 - x) * (a * 100 - x) + (b * 100 - y) * (b * 100 - y), id)) AS center FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), c GROUP BY 1")
+WIDE_START = {i: [v] * 64 for i, v in ((1, -0.1), (2, 0.1), (3, 0.0))}
+_WIDE_CENTERS = " UNION ALL ".join(f"SELECT {i} AS id, [{c[0]}::DOUBLE FOR k IN range(64)] AS c" for i, c in WIDE_START.items())
+
+
+@query(f"WITH c AS ({_WIDE_CENTERS}) SELECT vec_id, arg_min(id, (round(list_sum([(embedding[k]::DOUBLE - c.c[k]) ** 2 FOR k IN range(1, 65)]), 12), id)) AS center FROM embeddings, c GROUP BY 1")
 def kmeans_assign(spark, sf):
-    e = lambda i: F.col("embedding")[i].cast("double") * 100
-    return K.assign(table(spark, sf, "embeddings"), [e(0), e(1)], START).select("vec_id", "center")
+    """All 64 coordinates."""
+    e = [F.col("embedding")[i].cast("double") for i in range(64)]
+    return K.assign(table(spark, sf, "embeddings"), e, WIDE_START).select("vec_id", "center")
+
+
+def _wide_kmeans_sql(iterations: int) -> str:
+    out = f"WITH p AS MATERIALIZED (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings), c0 AS ({_WIDE_CENTERS})"
+    for i in range(1, iterations + 1):
+        out += f""", a{i} AS MATERIALIZED (SELECT vec_id, any_value(e) AS e, arg_min(id, (round(list_sum([(e[k] - c.c[k]) ** 2 FOR k IN range(1, 65)]), 12), id)) AS id FROM p, c{i - 1} c GROUP BY vec_id),
+          c{i} AS MATERIALIZED (SELECT id, list(v ORDER BY k) AS c FROM (SELECT id, k, avg(e[k]) AS v FROM (SELECT id, e, unnest(range(1, 65)) AS k FROM a{i}) GROUP BY id, k) GROUP BY id)"""
+    return out + f" SELECT id, unnest(range(64))::INT AS d, round(unnest(c), 9) AS x FROM c{iterations}"
+
+
+@query(_wide_kmeans_sql(2))
+def kmeans_exact_wide(spark, sf):
+    """Two iterations over all 64 coordinates of the rows themselves."""
+    points = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    centers = K.run(points, [F.col(f"x{i}") for i in range(64)], F.lit(1), WIDE_START, 2)
+    return K.frame(spark, centers).select("id", F.posexplode(F.array(*[F.round(f"x{i}", 9) for i in range(64)])).alias("d", "x"))
 
 
 @query(_kmeans_sql(KM_COUNTS_SQL, 3))
@@ -518,25 +644,11 @@ PARZEN_SQL = f"""WITH ask AS MATERIALIZED ({GEO_ASK_SQL}), k AS MATERIALIZED (SE
     CAST(sum(CASE WHEN real = 0 THEN est ELSE 0 END) AS BIGINT) AS false_positive FROM ask JOIN c USING (g0, g1) GROUP BY 1, 2, 3)"""
 
 
-def trip_cells(spark, sf) -> DataFrame:
-    t = table(spark, sf, "taxi_trips").where("lat IS NOT NULL AND lon IS NOT NULL AND duration IS NOT NULL AND hour_of_day IS NOT NULL")
-    return t.select(G.grid_index(F.col("lat"), 2).alias("g0"), G.grid_index(F.col("lon"), 2).alias("g1"), S.trip_type(F.col("duration"), 10).alias("trip_type"), F.col("hour_of_day").alias("hour"))
-
-
-def _trip_key() -> Column:
-    return V.key(F.array(F.col("g0") / 100.0, F.col("g1") / 100.0, F.col("trip_type").cast("double"), F.col("hour").cast("double")))
+TRIPS = PL.TripQuery(precision=2, window=WINDOW, radius=RADIUS, hour_step=1, limit_minutes=10, delta=0.1, epsilon=0.001, box=BOX)
 
 
 def window_counts(spark, sf) -> DataFrame:
-    names = ["g0", "g1", "trip_type", "hour"]
-    real = trip_cells(spark, sf).groupBy(*names).agg(F.count(F.lit(1)).alias("real"))
-    sketch = C.from_counts(real.select(_trip_key().alias("key"), F.col("real").alias("cnt")), GEO_SIZING)
-    centers = G.enumerate_box(spark, BOX[:2], BOX[2:], ["c0", "c1"]).withColumn("center", F.concat_ws(":", F.col("c0").cast("string"), F.col("c1").cast("string")))
-    asked = P.window_cells(centers, 2, WINDOW, RADIUS).select("g0", "g1").distinct()
-    keys = asked.withColumn("trip_type", F.explode(F.array(F.lit(P.LONG), F.lit(P.SHORT)))).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("key", _trip_key())
-    estimated = C.lookup(sketch, keys, GEO_SIZING, "key").drop("key")
-    cells = estimated.join(real, names, "left").select(*names, F.coalesce("real", F.lit(0)).alias("real"), "estimate")
-    return P.count_windows(centers, cells, 2, WINDOW, RADIUS)
+    return PL.trip_windows(table(spark, sf, "taxi_trips"), TRIPS)
 
 
 @query(PARZEN_SQL + " SELECT * FROM w")
@@ -562,6 +674,16 @@ def taxi_precision_recall(spark, sf):
     return E.precision_recall(E.confusion(P.long_or_short(window_counts(spark, sf)), F.col("predicted_long"), F.col("is_long")))
 
 
+@query(PREDICT_SQL + f""" SELECT 0.1::DOUBLE AS delta, 0.001::DOUBLE AS epsilon, {GEO_SIZING.depth} AS depth, {GEO_SIZING.width} AS width, *, true_positive / nullif(true_positive + false_positive, 0) AS precision,
+  true_positive / nullif(true_positive + false_negative, 0) AS recall, (true_positive + true_negative) / nullif(n, 0) AS accuracy FROM t""")
+def taxi_pipeline(spark, sf):
+    """The whole pipeline by one configuration, its results written and the summary read back."""
+    path = scratch_path(spark, "taxi")
+    done = PL.taxi_pipeline(table(spark, sf, "taxi_trips"), TRIPS, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in done.summary.schema)
+    return IO.csv(spark, f"{path}/summary", schema, "\t")
+
+
 @query(PARZEN_SQL + " SELECT trip_type, CAST(sum(sketch_count - real_count) AS BIGINT) AS total_error FROM w GROUP BY 1")
 def taxi_error_totals(spark, sf):
     return E.error_totals(window_counts(spark, sf), ["trip_type"], F.col("sketch_count"), F.col("real_count"))
@@ -587,6 +709,16 @@ def accuracy(spark, sf):
     return E.accuracy(table(spark, sf, "orders"), guess, F.col("o_orderstatus")).select("n", F.round("accuracy", 9).alias("accuracy"))
 
 
+@query("""WITH j AS (SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 'F' ELSE 'O' END AS predicted, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey)
+  SELECT c_custkey, predicted, status AS actual FROM j JOIN (SELECT o_custkey, min(o_orderstatus) AS status FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1) ON o_custkey = c_custkey""")
+def prediction_truth_join(spark, sf):
+    """Predictions of orders with the smallest status of the customer as truth, joined by id."""
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    guess = F.when(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"), "F").otherwise("O")
+    predictions = orders.select(F.col("o_custkey").alias("id"), guess.alias("predicted")).join(customers, "id", "left_semi")
+    return E.truth_join(predictions, orders.select(F.col("o_custkey").alias("id"), "o_orderstatus"), "id", "predicted", "o_orderstatus").select(F.col("id").alias("c_custkey"), "predicted", "actual")
+
+
 GINI_SQL = f"""WITH s AS (SELECT label, feature, CAST(embedding[feature + 1] AS DOUBLE) AS value, unnest(candidates) AS candidate FROM embeddings, ({CANDIDATES_SQL}) WHERE label IS NOT NULL),
   c AS (SELECT feature, candidate, label, count(*) FILTER (value <= candidate)::DOUBLE AS l, count(*) FILTER (value > candidate)::DOUBLE AS r FROM s GROUP BY 1, 2, 3),
   t AS (SELECT feature, candidate, sum(l) AS lt, sum(r) AS rt FROM c GROUP BY 1, 2)
@@ -644,7 +776,7 @@ def _forest(spark, sf):
     s = samples(spark, sf)
     values = RF.unpivot(s)
     candidates = H.split_candidates(H.build(values, F.col("value"), {"feature": F.col("feature")}, 32), ["feature"], 5)
-    return s, RF.grow(s, candidates, 3, 8, 10, per_node=5, least=20, max_depth=4, seed=5)
+    return s, RF.grow(s, candidates, 3, 64, 10, per_node=5, least=20, max_depth=4, seed=5)
 
 
 @query()
@@ -659,6 +791,49 @@ def forest_predict(spark, sf):
     return E.majority_vote(votes, "sample", "label")
 
 
+def _tree_sql(depth: int, least: int) -> str:
+    """One tree over all features and fixed candidates, level by level: nodes (node, feature, split, label, bag_size)."""
+    out = f"WITH f AS MATERIALIZED (SELECT feature, unnest(candidates) AS candidate FROM ({CANDIDATES_SQL})), n0 AS MATERIALIZED (SELECT vec_id, label, embedding, 0::BIGINT AS node, []::INT[] AS used FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"
+    for d in range(depth + 1):
+        out += f""", h{d} AS MATERIALIZED (SELECT node, arg_max(label, (n, -label)) AS major, CAST(sum(n) AS BIGINT) AS bag_size FROM (SELECT node, label, count(*) AS n FROM n{d} GROUP BY ALL) GROUP BY node)"""
+        if d == depth:
+            break
+        out += f""", c{d} AS MATERIALIZED (SELECT node, feature, candidate, label, count(*) FILTER (embedding[feature + 1]::DOUBLE <= candidate)::DOUBLE AS l, count(*) FILTER (embedding[feature + 1]::DOUBLE > candidate)::DOUBLE AS r
+            FROM n{d}, f WHERE NOT list_contains(used, feature) GROUP BY ALL),
+          t{d} AS MATERIALIZED (SELECT node, feature, candidate, sum(l) AS lt, sum(r) AS rt FROM c{d} GROUP BY ALL),
+          q{d} AS MATERIALIZED (SELECT node, feature, candidate, any_value(lt) AS lt, any_value(rt) AS rt, (1 - sum(((l + r) / (lt + rt)) ** 2)) - any_value(lt / (lt + rt)) * (1 - sum(CASE WHEN lt > 0 THEN (l / lt) ** 2 ELSE 0 END))
+            - any_value(rt / (lt + rt)) * (1 - sum(CASE WHEN rt > 0 THEN (r / rt) ** 2 ELSE 0 END)) AS quality FROM c{d} JOIN t{d} USING (node, feature, candidate) GROUP BY ALL),
+          b{d} AS MATERIALIZED (SELECT node, b.feature, b.candidate FROM (SELECT node, arg_max({{'feature': feature, 'candidate': candidate, 'lt': lt, 'rt': rt}}, (round(quality, 12), -feature, -candidate)) AS b FROM q{d} GROUP BY node) WHERE b.lt >= {least} AND b.rt >= {least}),
+          n{d + 1} AS MATERIALIZED (SELECT vec_id, label, embedding, node * 2 + CASE WHEN embedding[feature + 1]::DOUBLE > candidate THEN 2 ELSE 1 END AS node, list_append(used, feature) AS used FROM n{d} JOIN b{d} USING (node))"""
+    parts = [f"SELECT 0 AS tree, node, coalesce(feature, -1) AS feature, candidate AS split, CASE WHEN feature IS NULL THEN major ELSE -1 END AS label, bag_size FROM h{d} LEFT JOIN b{d} USING (node)" for d in range(depth)]
+    parts.append(f"SELECT 0, node, -1, NULL, major, bag_size FROM h{depth}")
+    return out + ", tree AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def one_tree(spark, sf) -> DataFrame:
+    return RF.grow(samples(spark, sf), fixed_candidates(spark), 1, 64, 10, per_node=64, least=20, max_depth=2)
+
+
+@query(_tree_sql(2, 20) + " SELECT * FROM tree")
+def forest_tree(spark, sf):
+    """One tree that looks at all features in every node, so that nothing is drawn."""
+    return one_tree(spark, sf)
+
+
+@query(_tree_sql(2, 20).replace("WITH f AS", "WITH RECURSIVE f AS", 1) + """, w(vec_id, embedding, node, label) AS (SELECT vec_id, embedding, 0::BIGINT, -1 FROM embeddings UNION ALL
+  SELECT w.vec_id, w.embedding, CASE WHEN t.feature < 0 THEN -1 ELSE w.node * 2 + CASE WHEN w.embedding[t.feature + 1]::DOUBLE > t.split THEN 2 ELSE 1 END END, t.label FROM w JOIN tree t ON w.node = t.node)
+  SELECT vec_id AS sample, label FROM w WHERE node = -1""")
+def forest_tree_predict(spark, sf):
+    return RF.predict(samples(spark, sf), stage(one_tree(spark, sf), "nodes")).select("sample", "label")
+
+
+@query("""SELECT feature, count(*)::DOUBLE AS total, round(avg(fvalue), 6) AS mean FROM feature_values WHERE feature IS NOT NULL AND isfinite(fvalue) GROUP BY 1""")
+def histogram_invariants(spark, sf):
+    """What merging bins keeps: the total and the weighted mean of every feature's streaming histogram."""
+    h = histogram_stream(spark, sf).select("feature", F.explode("bins").alias("b"))
+    return h.groupBy("feature").agg(F.sum("b.y").alias("total"), F.round(F.sum(F.col("b.x") * F.col("b.y")) / F.sum("b.y"), 6).alias("mean"))
+
+
 @query("""WITH w AS (SELECT DISTINCT ON (update_id) update_id, date_trunc('hour', update_ts) AS window_start, sketch_id FROM sketch_updates WHERE sketch_id IS NOT NULL AND update_ts IS NOT NULL AND update_id IS NOT NULL),
   c AS (SELECT window_start, CAST(sketch_id AS VARCHAR) AS key, count(*) AS cnt FROM w GROUP BY 1, 2)
   SELECT CAST(window_start AS TIMESTAMP) AS window_start, "row", col, CAST(sum(cnt) AS BIGINT) AS cnt FROM (""" + hash_sql("SELECT * FROM c", TAX_SIZING, "window_start, cnt") + ") GROUP BY 1, 2, 3")
@@ -735,3 +910,85 @@ def kmeans_sketch_3d(spark, sf):
 
     e = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
     return K.frame(spark, sketched_kmeans(e, KMeansConfig(["x0", "x1", "x2"], 3, 3, precision=1), HEAVY_HITTERS))
+
+
+SMALL_SWEEP = ((0.5, 0.1), (0.01, 0.001))
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT {d}::DOUBLE AS delta, {e}::DOUBLE AS epsilon, {z.depth} AS depth, {z.width} AS width, theta0, theta1 FROM ({GD_SQL.format(cells=estimates_sql(REG_COUNTS_SQL, f'SELECT "row", col, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({hash_sql(REG_COUNTS_SQL, z, "cnt")}) GROUP BY 1, 2', z, "g0, g1"))}) WHERE step = 20"""
+    for d in SMALL_SWEEP[0]
+    for e in SMALL_SWEEP[1]
+    for z in [C.Sizing.of(d, e)]
+))
+def regression_sweep(spark, sf):
+    """The linear model by size of the sketch, every observed cell looked up (an own discovery strategy)."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_extendedprice") / 100000).alias("y"), (F.col("l_quantity") / 50).alias("x"))
+    observed = lambda sketch, cells, precision, sizing: D.estimate_cells(sketch, cells.distinct(), precision, sizing)
+    out = PL.regression_sweep(rows, PL.RegressionConfig("y", ["x"], steps=20), PL.Sweep(*SMALL_SWEEP), observed)
+    return out.select("delta", "epsilon", "depth", "width", *[F.round(f"theta{d}", 9).alias(f"theta{d}") for d in (0, 1)])
+
+
+@query()
+def kmeans_sweep(spark, sf):
+    """Centers found and cost by size of the sketch, over three coordinates."""
+    e = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
+    return PL.kmeans_sweep(e, PL.KMeansConfig(["x0", "x1", "x2"], 3, 3, precision=1), PL.Sweep((0.1,), (0.01, 0.001)))
+
+
+# -- scans of files that the sinks wrote ---------------------------------------------------------------------------------------------------
+
+
+LINES = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
+
+
+def _written_lines(spark, sf, header: bool, delimiter: str = ",") -> str:
+    path = scratch_path(spark, "lines")
+    W.csv(table(spark, sf, "lineitem").select(*LINES), path, delimiter, header)
+    return path
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag FROM lineitem")
+def files_csv(spark, sf):
+    """CSV by explicit schema, from a folder of parts."""
+    return IO.csv(spark, _written_lines(spark, sf, True), "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double, l_returnflag string")
+
+
+@query("SELECT l_returnflag, l_orderkey FROM lineitem")
+def files_by_header(spark, sf):
+    return IO.csv_by_header(spark, _written_lines(spark, sf, True), {"l_returnflag": "string", "l_orderkey": "bigint"})
+
+
+@query("SELECT l_orderkey AS a, l_discount AS b FROM lineitem")
+def files_typed_mask(spark, sf):
+    return IO.typed_csv(spark, _written_lines(spark, sf, False, ";"), [(0, "a", "bigint"), (3, "b", "double")], 5, ";")
+
+
+@query("SELECT l_quantity AS v0, l_discount AS v1, l_tax AS v2 FROM lineitem")
+def files_vectors(spark, sf):
+    path = scratch_path(spark, "vectors")
+    W.csv(table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax"), path, " ")
+    return IO.vectors(spark, path).select(*[F.get("vec", F.lit(i)).alias(f"v{i}") for i in range(3)])
+
+
+@query("SELECT vec_id AS sample, label, [x::DOUBLE FOR x IN embedding] AS features FROM embeddings WHERE label IS NOT NULL")
+def files_samples(spark, sf):
+    path = scratch_path(spark, "samples")
+    W.csv(table(spark, sf, "embeddings").where("label IS NOT NULL").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)]), path, " ")
+    return IO.samples(spark, path)
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL")
+def files_json_sorted(spark, sf):
+    """JSON lines from text files, sorted by a path."""
+    path = scratch_path(spark, "json")
+    table(spark, sf, "events").where("props IS NOT NULL").select("props").write.text(path)
+    lines = IO.sorted_by_path(IO.text_lines(spark, path), F.col("value"), "k", "bigint")
+    return lines.select(*[c.cast("bigint").alias("k") for c in IO.json_paths(F.col("value"), {"k": "k"})])
+
+
+@query(f"WITH rk AS MATERIALIZED ({KEYS_SQL.replace('AS cnt', 'AS real')}) " + SWEEP_SQL)
+def files_sweep_read_back(spark, sf):
+    path = scratch_path(spark, "sweep")
+    W.csv(sketch_error_sweep(spark, sf), path)
+    return IO.read_back(spark, path)

@@ -68,7 +68,27 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _drop_at_exit(spark, path)
+    return path
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that no later action reads: of rounds that a loop has left behind. Tables that are not staged are left alone."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            df._staged_at = None
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -89,6 +89,17 @@ def json_lines(spark: SparkSession, path: str, paths: dict[str, str]) -> DataFra
     return text_lines(spark, path).select(*json_paths(F.col("value"), paths))
 
 
+def sorted_by_path(df: DataFrame, line: Column, path: str, kind: str = "string", ascending: bool = True) -> DataFrame:
+    """``df`` in the order of a value in its JSON lines, as a range-partitioned sort; lines without the value come last."""
+    value = F.get_json_object(line, "$." + path).try_cast(kind)
+    return df.orderBy(value.asc_nulls_last() if ascending else value.desc_nulls_last())
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics written by ``writers.csv`` of a sweep, typed."""
+    return csv(spark, path, "delta double, epsilon double, depth int, width int, n_keys bigint, total bigint, estimated_total bigint, max_error bigint, n_over bigint, n_under bigint, n_beyond_bound bigint", header=False)
+
+
 def column_of(line: Column, position: int, delimiter: str = " ") -> Column:
     """Field ``position`` (from 1) of a delimited line."""
     return F.get(F.split(line, delimiter), F.lit(position - 1))

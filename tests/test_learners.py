@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwise.functions import scalar as S
+from cellwise.operators import bloom as B
+from cellwise.operators import discovery as D
 from cellwise.operators import evaluate as E
 from cellwise.operators import forest as RF
 from cellwise.operators import histogram as H
@@ -86,6 +88,88 @@ def test_kmeans(spark):
         K.init_heaviest(pts, ["x", "y"], "w", 9)
 
 
+def test_histogram_keeps_totals_and_means():
+    rng = np.random.default_rng(4)
+    v = np.round(rng.gamma(2, 3, 5000), 2)
+    for most in (1, 2, 7, 64):
+        h = H.StreamingHistogram(most)
+        for part in np.array_split(v, 13):
+            h.update(part)
+        assert len(h.bins) == most and h.total == 5000 and abs((h.x * h.y).sum() / 5000 - v.mean()) < 1e-9
+        assert (np.diff(h.x) > 0).all() and h.x[0] >= v.min() and h.x[-1] <= v.max()
+    for p, q in zip(H.StreamingHistogram(64, [(c, n) for c, n in h.bins]).split_points(4), (0.25, 0.5, 0.75), strict=True):
+        assert abs((v <= p).mean() - q) < 0.02 and abs(h.count_up_to(p) / 5000 - q) < 1e-6
+    one = H.StreamingHistogram(3)
+    for x in (1.0, 2.0, 10.0, 11.5):
+        one.update(x)
+    assert one.bins == [(1.5, 2.0), (10.0, 1.0), (11.5, 1.0)]
+
+
+def test_models_predict_and_learn(spark):
+    rng = random.Random(6)
+    rows = [(x, 2 + 3 * x, int(rng.random() < 1 / (1 + math.exp(1 - 4 * x))), 1, i % 3) for i, x in enumerate(rng.uniform(-1, 1) for _ in range(2000))] + [(None, 1.0, 0, 1, 0)]
+    df = spark.createDataFrame(rows, "x double, y double, b int, w int, worker int").withColumn("theta0", F.lit("clash"))
+    x, known = [F.col("x")], df.dropna()
+    linear = R.LinearModel([2.0, 3.0])
+    assert df.where("x IS NOT NULL").select(F.max(F.abs(linear.predict(x) - F.col("y")))).first()[0] < 1e-9
+    assert df.where("x IS NULL").select(linear.predict(x)).first()[0] is None
+    assert max(map(abs, linear.gradient(known, F.col("y"), x, F.col("w")).first())) < 1e-9
+    steps = R.descend(R.LinearModel, known, F.col("y"), x, F.col("w"), steps=5).steps
+    assert all(abs(a - b) < 1e-9 for s, t in zip(steps, R.linear(known, F.col("y"), x, F.col("w"), steps=5).steps, strict=True) for a, b in zip(s, t, strict=True))
+    fitted = R.logistic_newton(known, F.col("b"), x, F.col("w")).model
+    assert abs(fitted[0] + 1) < 0.3 and abs(fitted[1] - 4) < 0.6
+    assert max(map(abs, R.LogisticModel(fitted).gradient(known, F.col("b"), x, F.col("w")).first())) < 1e-6
+    assert R.logistic_newton(known.limit(0), F.col("b"), x, F.col("w")).steps == [[0.0, 0.0]]
+    models, mean = R.linear_by_worker(df, F.col("worker"), F.col("y"), x, F.col("w"), steps=300)
+    assert set(models) == {0, 1, 2} and abs(mean[0] - 2) < 1e-3 and abs(mean[1] - 3) < 1e-3
+    assert R.linear_by_worker(df.limit(0), F.col("worker"), F.col("y"), x, F.col("w")) == ({}, [1.0, 1.0])
+    with pytest.raises(ValueError, match="workers"):
+        R.linear_by_worker(df, F.col("worker"), F.col("y"), x, F.col("w"), most=2)
+
+
+def test_hooks_are_arguments(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(x, 0.25 + 0.5 * x) for x in (rng.uniform(-1, 1) for _ in range(500))], "x double, y double")
+    seen = []
+
+    def own(sketch, cells, precision, sizing):
+        seen.append(sizing.hash_function is crude)
+        return D.estimate_cells(sketch, cells.distinct(), precision, sizing)
+
+    def crude(key, row):
+        return F.xxhash64(key, row)
+
+    down = lambda c, p: F.floor(c * 10**p)
+    config = P.RegressionConfig("y", ["x"], hash_function=crude, normalizer=down, learning=lambda cells, y, xs, w: R.linear(cells, y, xs, w, steps=400))
+    got = P.sketched_regression(df, config, own).model
+    assert seen == [True] and abs(got[0] - 0.25) < 0.02 and abs(got[1] - 0.5) < 0.02
+    assert P.sketched_regression(df, config, P.EXACT).model != P.sketched_regression(df, P.RegressionConfig("y", ["x"], learning=config.learning), P.EXACT).model
+
+
+def test_truth_join(spark):
+    p = spark.createDataFrame([(2, "b"), (1, "a"), (3, None), (9, "z"), (2, "b")], "id int, guess string").withColumn("actual", F.lit("clash"))
+    t = spark.createDataFrame([(1, "a"), (2, "c"), (2, "b"), (3, "c"), (4, None)], "id int, label string").withColumn("guess", F.lit("clash"))
+    out = E.truth_join(p, t, "id", "guess", "label")
+    assert sorted((r.id, r.predicted or "", r.actual) for r in out.collect()) == [(1, "a", "a"), (2, "b", "b"), (2, "b", "b"), (3, "", "c")]
+    assert E.accuracy(out, F.col("predicted"), F.col("actual")).first().n == 4 and E.truth_join(p.limit(0), t, "id", "guess", "label").count() == 0
+
+
+def test_sides_by_filters_are_those_of_the_values(spark):
+    rng = random.Random(8)
+    s = spark.createDataFrame([(i, i % 2, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(60)], "sample bigint, label int, features array<double>")
+    c = spark.createDataFrame([(0, [-0.5, 0.5]), (1, [0.0])], "feature int, candidates array<double>")
+    splits = RF.sample_splits(s, c)
+    sizing = B.BloomSizing.of_rate(0.001, splits.count())
+    left, right = RF.split_filters(splits, sizing)
+    got = {(r["sample"], r.feature, r.candidate): (r.goes_left, r.goes_right) for r in RF.filtered_sides(splits, left, right, sizing).collect()}
+    wrong = 0
+    for r in splits.collect():
+        a, b = got[r["sample"], r.feature, r.candidate]
+        assert a if r.value <= r.candidate else b
+        wrong += a and b
+    assert len(got) == 180 and wrong <= 4
+
+
 def test_histogram():
     h = H.StreamingHistogram(3)
     for v in (1, 2, 2, 10, 11):

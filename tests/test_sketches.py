@@ -12,6 +12,7 @@ from cellwise.operators import discovery as D
 from cellwise.operators import grid as G
 from cellwise.operators import topk as T
 from cellwise.plans.reference_hash import bucket_of
+from cellwise.session import drop_staged, stage
 
 
 def frame(spark, keys):
@@ -160,3 +161,32 @@ def test_discovery_exact_when_wide(spark):
     assert [r.cnt for r in hh] == sorted(exact.values(), reverse=True)[:5]
     assert D.by_random_points(spark, sketch, 2, 50, 1, sizing, 1).count() == 50
     assert D.full_range(spark, 4).count() == 32
+
+
+def test_estimates_by_sizing_are_those_of_single_sketches(spark):
+    rng = random.Random(9)
+    counts = C.key_counts(frame(spark, [str(int(rng.gauss(0, 30))) for _ in range(2000)]), F.col("key"))
+    sizings = [C.Sizing(1, 30), C.Sizing(3, 30), C.Sizing(2, 71)]
+    got = {(r.sizing, r.key): r.estimate for r in C.estimates_by_sizing(counts, sizings).collect()}
+    for i, s in enumerate(sizings):
+        for r in C.lookup(C.from_counts(counts, s), counts.select("key"), s).collect():
+            assert got[i, r.key] == r.estimate
+
+
+def test_bloom_words_round_trip(spark):
+    sizing = B.BloomSizing.of_rate(0.02, 50)
+    bits = B.build(frame(spark, [f"k{i}" for i in range(50)]), F.col("key"), sizing)
+    assert B.same(bits, B.from_words(B.to_words(bits))).first().same and B.to_words(bits).count() <= sizing.bits // 64 + 1
+    edge = spark.createDataFrame([(0,), (63,), (64,), (127,)], "bit bigint")
+    assert sorted(r.bit for r in B.from_words(B.to_words(edge)).collect()) == [0, 63, 64, 127]
+    assert B.from_words(B.to_words(edge.limit(0))).count() == 0
+
+
+def test_staged_tables_are_dropped(spark):
+    import os
+
+    kept = stage(spark.range(5), "kept")
+    path = kept._staged_at
+    assert os.path.isdir(path.removeprefix("file:")) and kept.count() == 5
+    drop_staged(kept, spark.range(1))
+    assert not os.path.exists(path.removeprefix("file:"))
