@@ -351,7 +351,7 @@ LISTS = [
 
 
 def test_running_lines():
-    share = lambda t: P.page_statistics(t, COMMON)[-1]
+    share = lambda t: P.page_statistics(t, P.Tokens(COMMON))[-1]
     assert share(PROSE) == 1.0
     assert share(PROSE.replace("h", "b", 3)) == 1.0
     assert share(PROSE.upper()) == 1.0
@@ -359,12 +359,12 @@ def test_running_lines():
         assert share(text) <= 0.2, text
     mixed = "\n".join(x for pair in zip(PROSE.split("\n"), LISTS[0].split("\n")) for x in pair)
     assert share(mixed) == 0.5
-    assert P.page_statistics("", COMMON) is None and P.page_statistics(" \n ", COMMON) is None and P.statistics([None, ""], COMMON) == [None, None]
-    assert P.page_statistics("word " * 300_000, COMMON)[0] == 300_000
+    assert P.page_statistics("", P.Tokens(COMMON)) is None and P.page_statistics(" \n ", COMMON) is None and P.statistics([None, ""], COMMON) == [None, None]
+    assert P.page_statistics("word " * 300_000, P.Tokens(COMMON))[0] == 300_000
 
 
 def test_page_statistics_by_hand():
-    got = dict(zip(P.STATISTICS, P.page_statistics("The cat, 12!\nof x", COMMON), strict=True))
+    got = dict(zip(P.STATISTICS, P.page_statistics("The cat, 12!\nof x", P.Tokens(COMMON)), strict=True))
     assert got["n_words"] == 5 and got["mean_word_length"] == 11 / 5 and got["end_punctuation_share"] == 0.5 and got["common_word_share"] == 2 / 5
     assert abs(got["symbol_ratio"] - 2 / 13) < 1e-12
 
