@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.session import python_partitions, stage
+from cellwise.session import drop_staged, python_partitions, stage
 
 #: Points a tile should hold; a coarse cell with more is halved in every dimension until its tiles should hold this many.
 TILE_POINTS = 700
@@ -220,6 +220,7 @@ def boruvka(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> tuple[DataFra
             done = open_.groupBy().applyInPandas(_finish, _EDGE + ", comp bigint, root bigint")
             done = stage(done, "finish")
             chosen.append(done.where("comp < 0").select("run", "u", "v", "w"))
+            drop_staged(open_)
             labels = _relabel(labels, done.where("comp >= 0").select("comp", "root"))
             break
         both = open_.select("run", "u", "v", "w", F.col("cu").alias("c"), F.col("cv").alias("o")).unionByName(open_.select("run", "u", "v", "w", F.col("cv").alias("c"), F.col("cu").alias("o")))
@@ -227,23 +228,28 @@ def boruvka(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> tuple[DataFra
         chosen.append(nearest.select("run", "u", "v", "w").distinct())
         back = nearest.select(F.col("c").alias("_c"), F.col("o").alias("_o"))
         hook = nearest.join(back, F.col("o") == F.col("_c")).select("c", F.when((F.col("_o") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p"))
-        hook = stage(hook, "hooks")
+        hook = last = stage(hook, "hooks")
         while True:  # pointer jumping: the depth halves
             up = hook.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
             jumped = stage(hook.join(up, F.col("p") == F.col("_c")).select("c", F.col("_p").alias("p"), (F.col("_p") != F.col("p")).alias("moved")), "hooks")
-            hook = jumped.select("c", "p")
+            drop_staged(last)
+            last, hook = jumped, jumped.select("c", "p")
             if jumped.where("moved").limit(1).count() == 0:
                 break
         roots = hook.select(F.col("c").alias("comp"), F.col("p").alias("root"))
-        labels = stage(_relabel(labels, roots), "labels")
+        relabelled = stage(_relabel(labels, roots), "labels")
+        drop_staged(labels)
+        labels = relabelled
         a, b = roots.select(F.col("comp").alias("cu"), F.col("root").alias("ru")), roots.select(F.col("comp").alias("cv"), F.col("root").alias("rv"))
         moved = open_.join(a, "cu").join(b, "cv").where("ru <> rv").select("run", "u", "v", "w", F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv"))
         best = moved.groupBy("cu", "cv").agg(F.min(F.struct("w", "u", "v", "run")).alias("e"))
-        open_ = stage(best.select("e.run", "e.u", "e.v", "e.w", "cu", "cv"), "edges")
+        left_open = stage(best.select("e.run", "e.u", "e.v", "e.w", "cu", "cv"), "edges")
+        drop_staged(open_, last)
+        open_ = left_open
     forest = None
     for part in chosen:
         forest = part if forest is None else forest.unionByName(part)
-    return (forest if forest is not None else first.limit(0)), labels
+    return (forest if forest is not None else first.limit(0)), labels  # a forest of the rounds' nearest edges, each staged
 
 
 def _relabel(labels: DataFrame, roots: DataFrame) -> DataFrame:

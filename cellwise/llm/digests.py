@@ -109,7 +109,7 @@ def quantiles(digests: DataFrame, groups: Sequence[str], qs: Sequence[float]) ->
         code = pdf.groupby(list(groups), sort=False, dropna=False).ngroup().to_numpy() if groups else np.zeros(len(pdf), np.int64)
         order = np.lexsort((pdf["mean"].to_numpy(), code))
         pdf, code = pdf.iloc[order].reset_index(drop=True), code[order]
-        w, x = pdf["weight"].to_numpy(), pdf["mean"].to_numpy()
+        w, x, lo, hi = (pdf[c].to_numpy() for c in ("weight", "mean", "lo", "hi"))
         head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         tail = np.append(head[1:], len(code))
         out = []
@@ -117,14 +117,16 @@ def quantiles(digests: DataFrame, groups: Sequence[str], qs: Sequence[float]) ->
             upto = np.cumsum(w[a:b])
             mid = upto - w[a:b] / 2
             for q in qs:
-                # linear between cluster middles; beyond the outer middles towards the extremes
-                v = np.interp(q * upto[-1], np.concatenate(([0], mid, [upto[-1]])), np.concatenate(([pdf["lo"][a:b].min()], x[a:b], [pdf["hi"][a:b].max()])))
-                out.append((a, q, upto[-1], v))
+                # linear between cluster middles; beyond the outer middles towards the extremes; within the extremes of the cluster of rank q*n, so that a value
+                # that many rows share is met
+                c = a + min(int(np.searchsorted(upto, q * upto[-1], "left")), b - a - 1)
+                v = np.interp(q * upto[-1], np.concatenate(([0], mid, [upto[-1]])), np.concatenate(([lo[a:b].min()], x[a:b], [hi[a:b].max()])))
+                out.append((a, q, upto[-1], min(max(v, lo[c]), hi[c]), lo[c], hi[c]))
         at = [o[0] for o in out]
-        yield pdf[list(groups)].iloc[at].reset_index(drop=True).assign(q=[o[1] for o in out], n=np.array([o[2] for o in out]).astype("int64"), estimate=[o[3] for o in out])
+        yield pdf[list(groups)].iloc[at].reset_index(drop=True).assign(q=[o[1] for o in out], n=np.array([o[2] for o in out]).astype("int64"), estimate=[o[3] for o in out], lo=[o[4] for o in out], hi=[o[5] for o in out])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return gathered.mapInPandas(read, ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["q double", "n bigint", "estimate double"]))
+    return gathered.mapInPandas(read, ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["q double", "n bigint", "estimate double", "lo double", "hi double"]))
 
 
 def count_ranks(values: DataFrame, value: Column, groups: Mapping[str, Column], cuts: DataFrame, cut: str) -> DataFrame:
@@ -168,11 +170,23 @@ def rank_bounds(digests: DataFrame, groups: Sequence[str], cuts: DataFrame, cut:
     )
 
 
-def certified(values: DataFrame, value: Column, groups: Mapping[str, Column], qs: Sequence[float], delta: int = DELTA) -> DataFrame:
-    """Percentiles per group with the rank error of each, as counted: ``rank_error`` is how far q*n is outside [n_below, n_at_or_below], over n."""
+def certify(values: DataFrame, value: Column, groups: Mapping[str, Column], found: DataFrame) -> DataFrame:
+    """``found`` (of ``quantiles``, staged) with the rank error of each percentile, as counted: ``rank_error`` is how far q*n is outside [n_below, n_at_or_below], over n.
+
+    Counted are the estimate and the extremes of its cluster, and the one with the least error is the percentile: where few values hold most rows, a
+    value and not a mean of two.
+    """
     names = list(groups)
-    found = stage(quantiles(stage(digest(values, value, groups, delta), "digests"), names, qs), "quantiles")
-    ranked = count_ranks(values, value, groups, found, "estimate")
+    cuts = found.select(*names, "q", "n", F.explode(F.array_distinct(F.array("estimate", "lo", "hi"))).alias("cut"), "estimate")
+    ranked = count_ranks(values, value, groups, cuts, "cut")
     wanted = F.col("q") * F.col("n")
-    off = F.greatest(F.col("n_below") - wanted, wanted - F.col("n_at_or_below"), F.lit(0.0))
-    return ranked.select(*names, "q", "n", "estimate", "n_below", "n_at_or_below", (off / F.col("n")).alias("rank_error"))
+    off = F.greatest(F.col("n_below") - wanted, wanted - F.col("n_at_or_below"), F.lit(0.0)) / F.col("n")
+    best = F.min_by(F.struct("cut", "n_below", "n_at_or_below", off.alias("off")), F.struct(off.alias("off"), F.abs(F.col("cut") - F.col("estimate")).alias("far"), "cut")).alias("b")
+    chosen = ranked.groupBy(*names, "q", "n").agg(best)
+    return chosen.select(*names, "q", "n", F.col("b.cut").alias("estimate"), "b.n_below", "b.n_at_or_below", F.col("b.off").alias("rank_error"))
+
+
+def certified(values: DataFrame, value: Column, groups: Mapping[str, Column], qs: Sequence[float], delta: int = DELTA) -> DataFrame:
+    """Percentiles per group, certified."""
+    found = stage(quantiles(stage(digest(values, value, groups, delta), "digests"), list(groups), qs), "quantiles")
+    return certify(values, value, groups, found)

@@ -59,6 +59,11 @@ def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequent_updates(spark, sf_dir, UPDATE_SHARE)
 
 
+def p1_bounds_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent keys with their exact totals, and whether these are within the bounds of the summary."""
+    return p1_bounds(spark, sf_dir).select("item_key", "total", ((F.col("low") <= F.col("total")) & (F.col("total") <= F.col("up"))).alias("within"))
+
+
 def _grid(c: str) -> Column:
     return F.floor(F.col(c) * F.lit(1000) + F.lit(0.5))
 
@@ -120,9 +125,24 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_percentiles_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per feature for all days and workers together, from the merged digests of the single days and workers."""
-    digests = D.digest(_values(spark, sf_dir), F.col("fvalue"), {n: F.col(n) for n in GROUPS})
-    return D.quantiles(D.merge(digests, ["feature"]), ["feature"], (0.25, 0.5, 0.75, 0.9, 0.99))
+    """Percentiles per feature for all days and workers together, from the merged digests of the single days and workers, with counted rank errors."""
+    values = stage(_values(spark, sf_dir), "values")
+    digests = D.digest(values, F.col("fvalue"), {n: F.col(n) for n in GROUPS})
+    found = stage(D.quantiles(D.merge(digests, ["feature"]), ["feature"], (0.25, 0.5, 0.75, 0.9, 0.99)), "quantiles")
+    return D.certify(values, F.col("fvalue"), {"feature": F.col("feature")}, found)
+
+
+RANK_ERROR = 0.01
+
+
+def p3_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per feature, day and worker and per percentile the number of values, and whether the counted rank error is at most RANK_ERROR (and one value, between two)."""
+    return p3_percentiles(spark, sf_dir).select(*GROUPS, "q", "n", (F.col("rank_error") <= RANK_ERROR + 1 / F.col("n")).alias("certified"))
+
+
+def p3_rank_errors_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per feature, of the digests of single days and workers merged."""
+    return p3_percentiles_merged(spark, sf_dir).select("feature", "q", "n", (F.col("rank_error") <= RANK_ERROR + 1 / F.col("n")).alias("certified"))
 
 
 NEAR, LEAST_MEMBERS = 0.02, 4
@@ -201,6 +221,13 @@ c AS (SELECT hist_id, feature, batch_day, worker, q, min(x) AS c FROM h, (SELECT
 r AS (SELECT hist_id, q, avg(CASE WHEN v < c THEN 1.0::DOUBLE ELSE 0 END) AS a, avg(CASE WHEN v <= c THEN 1.0::DOUBLE ELSE 0 END) AS b FROM c JOIN v USING (feature, batch_day, worker) GROUP BY ALL)
 SELECT DISTINCT hist_id FROM r WHERE a > q + 0.10::DOUBLE OR b < q - 0.10::DOUBLE
 """
+_P3_VALUES = "SELECT DISTINCT feature, batch_day, worker, sample_id FROM feature_values WHERE isfinite(fvalue)"
+P3_RANK_SQL = f"SELECT feature, batch_day, worker, q, count(*) AS n, true AS certified FROM ({_P3_VALUES}), (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS q) GROUP BY ALL"
+P3_MERGED_SQL = f"SELECT feature, q, count(*) AS n, true AS certified FROM ({_P3_VALUES}), (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS q) GROUP BY ALL"
+P1_BOUNDS_SQL = f"""
+WITH k AS (SELECT nums, CAST(sum(cnt) AS BIGINT) AS total FROM ({ONCE_SQL}) GROUP BY nums)
+SELECT {KEY_TEXT_SQL} AS item_key, total, true AS within FROM k WHERE total >= 0.002::DOUBLE * (SELECT sum(total) FROM k)
+"""
 P6_FOUND_SQL = f"""
 WITH RECURSIVE c AS MATERIALIZED ({VALID_SQL}),
 e AS MATERIALIZED (SELECT a.run_id, a.cell_id AS u, b.cell_id AS v FROM c a JOIN c b ON a.run_id = b.run_id AND len(a.vec) = len(b.vec)
@@ -211,5 +238,5 @@ l AS (SELECT run_id, node, min(low) AS cluster_id FROM r GROUP BY 1, 2)
 SELECT cluster_id, node AS cell_id FROM (SELECT *, count(*) OVER (PARTITION BY run_id, cluster_id) AS n FROM l) WHERE n >= 4
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_updates, p1_bounds, p2_found, p2_error_report, p2_seen_by_batch, p2_answer_report, p3_found, p3_percentiles, p3_percentiles_merged, p6_found, p6_found_by_rounds, p6_clusters)}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p1_top_updates": P1_TOP_SQL, "p2_found": P2_FOUND_SQL, "p2_seen_by_batch": P2_BATCH_SQL, "p2_answer_report": P2_ANSWER_SQL, "p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_found_by_rounds": P6_FOUND_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_updates, p1_bounds, p1_bounds_hold, p2_found, p2_error_report, p2_seen_by_batch, p2_answer_report, p3_found, p3_percentiles, p3_percentiles_merged, p3_rank_errors, p3_rank_errors_merged, p6_found, p6_found_by_rounds, p6_clusters)}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p1_top_updates": P1_TOP_SQL, "p1_bounds_hold": P1_BOUNDS_SQL, "p3_rank_errors": P3_RANK_SQL, "p3_rank_errors_merged": P3_MERGED_SQL, "p2_found": P2_FOUND_SQL, "p2_seen_by_batch": P2_BATCH_SQL, "p2_answer_report": P2_ANSWER_SQL, "p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_found_by_rounds": P6_FOUND_SQL}
