@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -357,31 +357,60 @@ class Matcher:
         return got
 
 
+Spelling = tuple[str, int, int, list[int]]  # text, letters, which letters as bits, lines
+
+
 class Page:
-    """The cleaned lines of a page, and which of them open or close with a word. ``odd`` ones open (close) with words that are in no passage."""
+    """The cleaned lines of a page, and how they open and close: by which words, and of these by which that are in no passage, so that they may be misread ones."""
 
-    def __init__(self, lines: list[list[str]], ids: _Ids) -> None:
-        vocabulary = ids.vocabulary
+    def __init__(self, lines: list[list[str]], ids: _Ids, match: Matcher) -> None:
+        vocabulary, self.match = ids.vocabulary, match
         self.lines = [list(filter(None, map(ids.words.__getitem__, line))) for line in lines]
         self.heads: dict[str, list[int]] = defaultdict(list)
         self.tails: dict[str, list[int]] = defaultdict(list)
-        self.odd_heads: dict[tuple[str, ...], list[int]] = defaultdict(list)
-        self.odd_tails: dict[str, list[int]] = defaultdict(list)
-        self.known: dict[tuple[str, str], list[int]] = {}
+        joined: dict[str, list[int]] = defaultdict(list)
         for k, ws in enumerate(self.lines):
             if ws:
                 self.heads[ws[0]].append(k)
                 self.tails[ws[-1]].append(k)
-                if any(w not in vocabulary for w in ws[:2]):
-                    self.odd_heads[tuple(ws[:2])].append(k)
-                if ws[-1] not in vocabulary:
-                    self.odd_tails[ws[-1]].append(k)
-
-    def cached(self, key: tuple[str, str], lines: Callable[[], list[int]]) -> list[int]:
-        """Lines found for one word, remembered for all passages."""
-        got = self.known.get(key)
+                if len(ws) > 1 and ws[1] not in vocabulary:
+                    joined[ws[0] + ws[1]].append(k)
+        self.all_heads, self.all_tails, self.joined = map(self._spellings, (self.heads, self.tails, joined))
+        self.odd_heads, self.odd_tails = ([s for s in some if s[0] not in vocabulary] for some in (self.all_heads, self.all_tails))
+        self.known: dict[tuple[int, str], list[int]] = {}
+
+    def _spellings(self, words: dict[str, list[int]]) -> list[Spelling]:
+        return [(w, len(w), self.match.mask(w), ns) for w, ns in words.items()]
+
+    def like(self, some: list[Spelling], wanted: str, before: str = "", behind: str = "") -> list[int]:
+        """Lines of the spellings that match the wanted word, with a part of it put before or behind them. A spelling that is too short or long or has too many
+        other letters is passed over at once."""
+        size, most, letters = len(wanted) - len(before) - len(behind), _most(len(wanted)), self.match.mask(wanted)
+        part = self.match.mask(before + behind) if before or behind else 0
+        out: list[int] = []
+        for text, n, mask, lines in some:
+            if -most <= n - size <= most and ((mask | part) ^ letters).bit_count() <= 2 * most and self.match(before + text + behind, wanted):
+                out += lines
+        return out
+
+    def opening(self, wanted: str) -> list[int]:
+        """Lines that open with a word, misread or in two parts; remembered for all passages."""
+        got = self.known.get((0, wanted))
         if got is None:
-            got = self.known[key] = lines()
+            got = self.known[0, wanted] = [*self.heads.get(wanted, ()), *self.like(self.odd_heads, wanted), *self.like(self.joined, wanted)]
+        return got
+
+    def opening_with_both(self, words: str) -> list[int]:
+        """Lines that open with two words run together."""
+        got = self.known.get((1, words))
+        if got is None:
+            got = self.known[1, words] = self.like([s for s in self.odd_heads if s[1] > 3], words)
+        return got
+
+    def closing(self, wanted: str) -> list[int]:
+        got = self.known.get((2, wanted))
+        if got is None:
+            got = self.known[2, wanted] = [*self.tails.get(wanted, ()), *self.like(self.odd_tails, wanted)]
         return got
 
 
@@ -458,31 +487,22 @@ class Way:
 
     def lines(self, state: State) -> list[int]:
         j, cut = state
-        wanted, page, match = self.passage[j], self.page, self.match
+        wanted, page = self.passage[j], self.page
         if cut is None:
             if not self.forward:
-                return page.cached(("tail", wanted), lambda: [*page.tails.get(wanted, ()), *(n for w, ns in page.odd_tails.items() if match(w, wanted) for n in ns if w != wanted)])
-            found = page.cached(("head", wanted), lambda: self.heads(wanted))
+                return sorted(page.closing(wanted))
+            found = page.opening(wanted)
             if j + 1 < len(self.passage):
-                both = wanted + self.passage[j + 1]
-                found = found + page.cached(("both", both), lambda: [n for h, ns in page.odd_heads.items() if len(h[0]) > 3 and match(h[0], both) for n in ns])
+                found = found + page.opening_with_both(wanted + self.passage[j + 1])
             return sorted(set(found))
         # a part of a word must be like the passage's word there
-        like = wanted[: len(cut)] if self.forward else wanted[-len(cut) :]
+        part = wanted[: len(cut)] if self.forward else wanted[-len(cut) :]
         most = _most(len(cut))
-        if _distance(cut, like, most) > most:
+        if cut != part and ((self.match.mask(cut) ^ self.match.mask(part)).bit_count() > 2 * most or _distance(cut, part, most) > most):
             return []
         if self.forward:
-            return sorted(n for head, ns in page.heads.items() if match(cut + head, wanted) for n in ns)
-        return sorted(n for tail, ns in page.tails.items() if len(tail) < len(wanted) and match(tail + cut, wanted) for n in ns)
-
-    def heads(self, wanted: str) -> list[int]:
-        page, match = self.page, self.match
-        out = list(page.heads.get(wanted, ()))
-        for head, ns in page.odd_heads.items():
-            if head[0] != wanted and (match(head[0], wanted) or len(head) > 1 and head[1] not in match.vocabulary and match(head[0] + head[1], wanted)):
-                out += ns
-        return out
+            return sorted(page.like(page.all_heads, wanted, before=cut))
+        return sorted(page.like([s for s in page.all_tails if s[1] < len(wanted)], wanted, behind=cut))
 
     def runs_of(self, state: State) -> list[Run]:
         j, cut = state
@@ -637,7 +657,7 @@ def tilings(index: Index, texts: list[str | None], ids: _Ids, match: Matcher) ->
         last: tuple[int, Page] | None = None
         for (p, i), seeds in candidates(index, tiles).items():
             if last is None or last[0] != p:
-                last = p, Page(pages[p], ids)
+                last = p, Page(pages[p], ids, match)
             run, covered = tile(last[1], index.passages[i], seeds, match)
             if leaks(run, covered, len(index.passages[i])):
                 out.append((p, i, run, covered))
