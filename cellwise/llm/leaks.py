@@ -29,7 +29,7 @@ MIN_WORDS, MISREAD = 15, 0.25
 MIN_TILE, MIN_COVERAGE = 8, 0.5
 #: Words in seeds that linked tiles must hold for a leak of MIN_WORDS (the rest may be misread, cut by line ends or beside a misread word), and words between a
 #: tile and the line's end or start over which it is linked.
-SEED_WORDS, EDGE = 7, 3
+SEED_WORDS, EDGE = 6, 3
 #: Passages of one index; larger sets are searched in several passes of this many, so that no task holds more.
 INDEX_ITEMS = 5_000
 _PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
@@ -68,6 +68,8 @@ class Index:
     items: list[np.ndarray] = field(default_factory=list)
     places: list[np.ndarray] = field(default_factory=list)
     filters: list[np.ndarray] = field(default_factory=list)
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # word ids of all passages
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each passage, and one end
 
     @staticmethod
     def build(rows: Sequence[tuple[int, str | None]]) -> Index:
@@ -77,6 +79,8 @@ class Index:
             for w in p:
                 vocabulary.setdefault(w, len(vocabulary))
         out = Index([i for i, _ in rows], passages, vocabulary)
+        out.words = np.array([vocabulary[w] for p in passages for w in p], np.int64)
+        out.starts = np.concatenate(([0], np.cumsum([len(p) for p in passages]))).astype(np.int64)
         size = max(1, len(vocabulary))
         for pattern in _PATTERNS:
             keys, items, places = [], [], []
@@ -167,6 +171,8 @@ class Tiles:
     place: np.ndarray
     length: np.ndarray
     after: np.ndarray  # words of the line behind it
+    opens: np.ndarray  # whether the words before it in the line may be the passage's, misread; likewise those behind it
+    ends: np.ndarray
 
     def where(self, rows: np.ndarray) -> Tiles:
         return Tiles(*[x[rows] for x in vars(self).values()])
@@ -233,15 +239,30 @@ def tiles_of(index: Index, batch: list[Piece], ids: _Ids) -> Tiles | None:
     new = (line[1:] != line[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1])
     head = np.flatnonzero(np.concatenate(([True], new)))
     length = np.maximum.reduceat(place + span, head) - place[head]
-    line = line[head]
-    word = at[head] - begin[line] + np.array(word_in_line)[line]
-    return Tiles(np.array(page_of_line)[line], item[head], np.array(line_in_page)[line], word, place[head], length, np.array(words_of_line)[line] - word - length)
+    line, item, at, place = line[head], item[head], at[head], place[head]
+    word = at - begin[line] + np.array(word_in_line)[line]
+    after = np.array(words_of_line)[line] - word - length
+    opens = _fits(w, at, -1, word, index, item, place)
+    ends = _fits(w, at + length - 1, 1, after, index, item, place + length - 1)
+    return Tiles(np.array(page_of_line)[line], item, np.array(line_in_page)[line], word, place, length, after, opens, ends)
+
+
+def _fits(w: np.ndarray, at: np.ndarray, step: int, room: np.ndarray, index: Index, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether at most EDGE words are between a tile and the edge of its line, and all but the last, which may be a part of a word, are the passage's or may be misread."""
+    good = room <= EDGE
+    for k in range(1, EDGE):
+        rows = np.flatnonzero(good & (room > k))
+        word, spot = w[at[rows] + step * k], index.starts[item[rows]] + place[rows] + step * k
+        inside = (spot >= index.starts[item[rows]]) & (spot < index.starts[item[rows] + 1])
+        same = word == index.words[np.clip(spot, 0, max(len(index.words) - 1, 0))]
+        good[rows] = (word == _NONE) | (same & inside)
+    return good
 
 
 def chains(pair: np.ndarray, tiles: Tiles, size: int) -> np.ndarray:
     """Words in seeds of the longest chain that each tile is in. A tile near the end of its line goes on in a tile near the start of any line of the page
     (columns may be scanned in any order) if the words between them, misread or cut by a hyphen, are as many as the passage has there, give or take one."""
-    opens, ends = np.flatnonzero(tiles.word <= EDGE), np.flatnonzero(tiles.after <= EDGE)
+    opens, ends = np.flatnonzero(tiles.opens), np.flatnonzero(tiles.ends)
     starts = pair * size + tiles.place - tiles.word
     keys, of_start = np.unique(starts[opens], return_inverse=True)
     stops = pair * size + tiles.place + tiles.length + tiles.after
