@@ -100,7 +100,7 @@ WITH d AS (SELECT doc_id, lang, length(text)::DOUBLE AS chars, length(regexp_rep
 s AS (SELECT doc_id, lang, figures < 0.02::DOUBLE AS ref, 0 AS stat, chars AS v FROM d UNION ALL SELECT doc_id, lang, figures < 0.02::DOUBLE, 1, figures FROM d UNION ALL SELECT doc_id, lang, figures < 0.02::DOUBLE, 2, stops FROM d),
 l AS (SELECT doc_id, ref, stat, v, false AS whole, lang AS grp FROM s UNION ALL SELECT doc_id, ref, stat, v, true, '*' FROM s),
 m AS (SELECT stat, whole, grp, count(*) AS n, avg(v) AS m FROM l WHERE ref GROUP BY ALL),
-k AS (SELECT l.stat, l.whole, l.grp, sign(avg((v - m) ** 3)) AS skew FROM l JOIN m ON l.stat = m.stat AND l.whole = m.whole AND l.grp IS NOT DISTINCT FROM m.grp WHERE ref GROUP BY ALL),
+k AS (SELECT l.stat, l.whole, l.grp, sign(round(avg((v - m) ** 3) / nullif(avg((v - m) ** 2), 0) ** 1.5, 6)) AS skew FROM l JOIN m ON l.stat = m.stat AND l.whole = m.whole AND l.grp IS NOT DISTINCT FROM m.grp WHERE ref GROUP BY ALL),
 r AS (SELECT *, count(*) FILTER (ref) OVER (PARTITION BY stat, whole, grp ORDER BY v) AS le, count(*) FILTER (ref) OVER (PARTITION BY stat, whole, grp ORDER BY v DESC) AS ge,
   count(*) FILTER (ref) OVER (PARTITION BY stat, whole, grp) AS n FROM l),
 t AS (SELECT doc_id, r.whole, n, -ln((le + 1)::DOUBLE / (n + 1)) AS low, -ln((ge + 1)::DOUBLE / (n + 1)) AS high, coalesce(skew, 0) AS skew
