@@ -313,10 +313,12 @@ def candidates(index: Index, tiles: Tiles) -> dict[tuple[int, int], list[Seed]]:
     enough = covered >= MIN_COVERAGE * (1 - MISREAD / 2) * lengths[pairs % len(index.ids)]
     long = np.zeros(len(pairs), bool)
     of = np.searchsorted(pairs, pair)
-    long[of[chain >= SEED_WORDS]] = True
+    # a tile with other words on both sides cannot grow over its line, so it must hold the exact words of a leak by itself, but for one at either end
+    able = (chain >= SEED_WORDS) & (t.opens | t.ends | (t.length >= MIN_WORDS * (1 - MISREAD) - 2))
+    long[of[able]] = True
     rows = np.flatnonzero((long | enough)[of])
     rows = rows[np.lexsort((t.word[rows], t.line[rows], -chain[rows], pair[rows]))]
-    first = (chain >= SEED_WORDS) | enough[of]
+    first = able | enough[of]
     out: dict[tuple[int, int], list[Seed]] = {}
     for p, i, *seed in zip(*[c[rows].tolist() for c in (t.page, t.item, t.line, t.word, t.place, first)], strict=True):
         out.setdefault((p, i), []).append(tuple(seed))
