@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -108,3 +108,12 @@ def python_partitions(spark: SparkSession) -> int:
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else without."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: Column, hot: Column) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key: rows of ``right`` for which ``hot`` holds are broadcast, the others are joined by shuffle, so that no
+    key gathers many rows of ``left`` in one task. The caller proves that few are hot, as by a least share of all rows. ``hot`` must not be null."""
+    marked = left.join(F.broadcast(right.where(hot).withColumn("_hot", F.lit(True))), on, "left")
+    met = marked.where("_hot").drop("_hot")
+    rest = marked.where("_hot IS NULL").select(*left.columns).join(right.where(~hot), on)
+    return met.unionByName(rest)

@@ -192,3 +192,36 @@ def test_sketch_jobs(spark):
     assert out["c"].groupBy("row").agg(F.sum("cnt").alias("n")).first().n == 2
     assert out["w"].groupBy("row").agg(F.sum("val").alias("n")).first().n == 6.0 and out["b"].count() > 0
     assert [tuple(r) for r in heavy_hitter_table(df, F.col("y"), 1).collect()] == [(1, "a", 2)]
+
+
+def test_join_of_hot_keys(spark):
+    from cellwise.session import join_hot
+
+    left = spark.createDataFrame([(i, "a" if i % 3 else str(i)) for i in range(300)] + [(999, None)], "id int, k string")
+    right = spark.createDataFrame([("a", 1, 200), ("3", 2, 1), ("6", 3, 1), ("zz", 4, 0)], "_k string, v int, n int")
+    for least in (0, 10, 1000):
+        out = join_hot(left, right, F.col("k") == F.col("_k"), F.col("n") > least)
+        assert out.columns == ["id", "k", "_k", "v", "n"] and out.count() == 202 and {r.v for r in out.collect()} == {1, 2, 3}
+    assert join_hot(left.limit(0), right, F.col("k") == F.col("_k"), F.col("n") > 10).count() == 0
+
+
+def test_exports(spark, tmp_path):
+    from cellwise.plans.pipelines import TripQuery, taxi_pipeline, write_centers
+    from cellwise.sources import readers, writers
+
+    write_centers(spark, {1: [0.5, -1.0], 2: [2.0, 3.5]}, f"{tmp_path}/centers")
+    assert sorted(r.value for r in readers.text_lines(spark, f"{tmp_path}/centers").collect()) == ["1 0.5 -1.0", "2 2.0 3.5"]
+    matrix = spark.createDataFrame([(1, [1, 2]), (3, [5, 6]), (2, [3, 4])], "y int, line array<int>")
+    writers.matrix_export(matrix, "y", f"{tmp_path}/matrix")
+    assert [r.value for r in readers.text_lines(spark, f"{tmp_path}/matrix").collect()] == ["5 6", "3 4", "1 2"]
+    trips = spark.createDataFrame([(41.15, -8.61, 12, 8), (41.15, -8.61, 4, 8), (41.16, -8.6, 30, 9), (None, -8.6, 1, 1)], "lat double, lon double, duration int, hour_of_day int")
+    done = taxi_pipeline(trips, TripQuery(box=(4114, -862, 4116, -860), hour_step=12), f"{tmp_path}/taxi")
+    assert done.summary.first().n == 9 * 2 and done.windows.agg(F.sum("real_count")).first()[0] > 0
+    assert {r.center for r in spark.read.options(sep="\t", header="true").csv(f"{tmp_path}/taxi/slots").select("center").distinct().collect()} == {f"{a}:{b}" for a in range(4114, 4117) for b in range(-862, -859)}
+
+
+def test_command_line_describes(capsys):
+    from cellwise.__main__ import main
+
+    assert main(["describe", "bloom_words"]) == 0 and "64-bit words" in capsys.readouterr().out
+    assert main(["describe", "nothing"]) == 2 and main([]) == 2
