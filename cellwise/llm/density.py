@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.session import drop_staged, python_partitions, stage
+from cellwise.session import drop_staged, join_hot, python_partitions, stage
 
 #: Points a tile should hold; a coarse cell with more is halved in every dimension until its tiles should hold this many.
 TILE_POINTS = 700
@@ -24,6 +24,8 @@ TILE_POINTS = 700
 COARSE, LEAST = 16, 1.0
 #: With at most this many edges left between components, one task finishes the forest (24 bytes an edge); before, Boruvka rounds do.
 FINISH_EDGES = 20_000
+#: Vectors of more than one in HOT members are joined by broadcast (HOT of them at most).
+HOT = 10_000
 _EDGE = "run bigint, u bigint, v bigint, w double"
 
 
@@ -280,9 +282,11 @@ def connected(elements: DataFrame, run: Column, element: Column, vec: Column, ra
     own = forest.labels.select(F.col("node").alias("_node"), "comp")
     named = forest.nodes.join(own, F.col("node") == F.col("_node"), "left").select("run", "x", "id", "mult", F.coalesce("comp", "node").alias("comp"))
     sizes = named.groupBy("comp").agg(F.min("id").alias("cluster_id"), F.sum("mult").alias("size")).where(F.col("size") >= least)
-    members = named.join(sizes, "comp").select(F.col("run").alias("_run"), F.col("x").alias("_x"), "cluster_id")
+    members = stage(named.join(sizes, "comp").select(F.col("run").alias("_run"), F.col("x").alias("_x"), "cluster_id", "mult"), "members")
     rows = elements.select(run.cast("bigint").alias("run"), element.alias("element"), vec.cast("array<double>").alias("x"))
-    return rows.join(members, (F.col("run") == F.col("_run")) & (F.col("x") == F.col("_x"))).select("cluster_id", "element")
+    # a vector that more than one in HOT of the members share gathers in no task
+    least = members.agg(F.coalesce(F.sum("mult"), F.lit(0)).alias("n")).first()["n"] // HOT
+    return join_hot(rows, members, (F.col("run") == F.col("_run")) & (F.col("x") == F.col("_x")), F.col("mult") > least).select("cluster_id", "element")
 
 
 def condense(u: np.ndarray, v: np.ndarray, w: np.ndarray, size: dict[int, int], least: int, radius: float) -> list[tuple[int, float, list[tuple[int, float]]]]:

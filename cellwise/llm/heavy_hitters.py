@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from cellwise.session import stage
 
-#: Summaries merged into one node of the tree's first level, as the number of nodes; a second level merges the nodes.
-NODES = 1024
+#: Nodes of the levels of the tree in which the summaries of partitions are merged; no node merges more than about 32 others of the level before.
+LEVELS = (1024, 32, 1)
 #: Candidates up to this number are broadcast to the second pass (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _FLUSH = 200_000
@@ -95,7 +95,7 @@ def _sums(at: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return np.add.reduceat(w[order], np.searchsorted(at, np.arange(n))) if n else np.zeros(0, np.int64)
 
 
-def _merge_frame(pdf: pd.DataFrame, capacity: int, node: int) -> pd.DataFrame:
+def _merge_frame(pdf: pd.DataFrame, capacity: int, nodes: int) -> pd.DataFrame:
     heads, items = pdf[pdf["total"] >= 0], pdf[pdf["total"] < 0]
     by = heads.groupby("g")
     summary = Summary(capacity)
@@ -103,7 +103,11 @@ def _merge_frame(pdf: pd.DataFrame, capacity: int, node: int) -> pd.DataFrame:
         items["g"].to_numpy(np.int64), items["h"].to_numpy(np.int64), items["low"].to_numpy(np.int64), (items["up"] - items["floor"]).to_numpy(np.int64),
         by["floor"].sum().to_dict(), by["total"].sum().to_dict(),
     )
-    return summary.frame(node)
+    return summary.frame(int(pdf["node"].iloc[0]) % nodes)
+
+
+def _merger(capacity: int, nodes: int):
+    return lambda pdf: _merge_frame(pdf, capacity, nodes)
 
 
 def summarise(rows: DataFrame, capacity: int) -> DataFrame:
@@ -120,11 +124,12 @@ def summarise(rows: DataFrame, capacity: int) -> DataFrame:
         if size:
             summary.add(*[np.concatenate(x) for x in zip(*held, strict=True)])
         if summary.totals:
-            yield pa.RecordBatch.from_pandas(summary.frame(TaskContext.get().partitionId() % NODES), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(summary.frame(TaskContext.get().partitionId() % LEVELS[0]), preserve_index=False)
 
-    parts = rows.select("g", "h", "w").mapInArrow(partial, _SCHEMA)
-    level = parts.groupBy("node", "g").applyInPandas(lambda pdf: _merge_frame(pdf, capacity, 0), _SCHEMA)
-    return level.groupBy("g").applyInPandas(lambda pdf: _merge_frame(pdf, capacity, 0), _SCHEMA)
+    level = rows.select("g", "h", "w").mapInArrow(partial, _SCHEMA)
+    for nodes in LEVELS:
+        level = level.groupBy((F.col("node") % nodes).alias("_node"), "g").applyInPandas(_merger(capacity, nodes), _SCHEMA)
+    return level
 
 
 def _hashed(rows: DataFrame, key: Mapping[str, Column], weight: Column, group: Sequence[str], least: Column | None = None) -> DataFrame:

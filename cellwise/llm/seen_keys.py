@@ -97,7 +97,7 @@ def probe(history: History, keys: DataFrame, extra: Sequence[str]) -> DataFrame:
 
 def _earlier(history: History, positives: DataFrame) -> DataFrame:
     """Of probed keys, those that really are in a batch before ``_t``."""
-    known = history.firsts.select(*[F.col(k).alias(f"_x{k}") for k in history.keys], F.col("_t").alias("_xt"))
+    known = history.firsts.groupBy(*[F.col(k).alias(f"_x{k}") for k in history.keys]).agg(F.min("_t").alias("_xt"))  # one row a key, so that no key meets all its batches
     same = F.lit(True)
     for k in history.keys:
         same = same & (F.col(k) == F.col(f"_x{k}"))

@@ -41,7 +41,7 @@ def test_summary_bounds_hold_at_any_merge_order():
         exact[k] += n
     import pandas as pd
 
-    merged = H._merge_frame(pd.concat([H._merge_frame(pd.concat(parts[:3]), 50, 0), H._merge_frame(pd.concat(parts[3:]), 50, 0)]), 50, 0)
+    merged = H._merge_frame(pd.concat([H._merge_frame(pd.concat(parts[:3]), 50, 1), H._merge_frame(pd.concat(parts[3:]), 50, 1)]), 50, 1)
     head = merged[merged.total >= 0].iloc[0]
     total = sum(exact.values())
     assert head.total == total and head.floor <= total / 50
