@@ -27,8 +27,8 @@ from cellwise.session import spread
 MIN_WORDS, MISREAD = 15, 0.25
 #: Least words of a tile that counts as covered, and the share of a passage that such tiles must cover to make a leak in any order.
 MIN_TILE, MIN_COVERAGE = 8, 0.5
-#: Words in seeds that linked tiles must hold for a leak of MIN_WORDS (the rest may be misread, cut by line ends or beside a misread word), and words between a
-#: tile and the line's end or start over which it is linked.
+#: Words in seeds that linked tiles must hold for a leak of MIN_WORDS (the rest may be misread, cut by line ends or beside a misread word), a tile by itself one more,
+#: and words between a tile and the line's end or start over which it is linked.
 SEED_WORDS, EDGE = 6, 3
 #: Passages of one index; larger sets are searched in several passes of this many, so that no task holds more.
 INDEX_ITEMS = 5_000
@@ -314,7 +314,8 @@ def candidates(index: Index, tiles: Tiles) -> dict[tuple[int, int], list[Seed]]:
     long = np.zeros(len(pairs), bool)
     of = np.searchsorted(pairs, pair)
     # a tile with other words on both sides cannot grow over its line, so it must hold the exact words of a leak by itself, but for one at either end
-    able = (chain >= SEED_WORDS) & (t.opens | t.ends | (t.length >= MIN_WORDS * (1 - MISREAD) - 2))
+    able = (chain > SEED_WORDS) & (t.opens | t.ends | (t.length >= MIN_WORDS * (1 - MISREAD) - 2))
+    able |= (chain == SEED_WORDS) & (chain > t.length)  # the least number is enough for linked tiles only
     long[of[able]] = True
     rows = np.flatnonzero((long | enough)[of])
     rows = rows[np.lexsort((t.word[rows], t.line[rows], -chain[rows], pair[rows]))]
