@@ -376,6 +376,29 @@ def test_page_table(spark):
     assert T.page_table(df.limit(0), F.col("doc_id"), F.col("lang"), F.col("text"), P.STATISTICS, lambda texts: P.statistics(texts, COMMON)).count() == 0
 
 
+@pytest.mark.parametrize("kinds", [(0, 1), (0,), (1,), ()])
+def test_p9_found_runs_no_stage_without_effect(spark, monkeypatch, tmp_path, kinds):
+    from cellwise.llm import queries_texts as Q
+
+    pages = [(i, ["en", "pt", None][i % 3], t) for i, t in enumerate([*LISTS, *[PROSE.replace("h", "b", i) for i in range(9)], None, "", " \n "])]
+    kind = lambda t: int(not (t or "").strip()) * 2 or int(t in LISTS)
+    kept = [p for p in pages if kind(p[2]) == 2 or kind(p[2]) in kinds]
+    spark.createDataFrame(kept, "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string").write.parquet(str(tmp_path / "common_words.parquet"))
+    wanted = {p[0] for p in kept if p[2] in LISTS}
+    # what the ranks of these pages select holds every page with too few running lines: asked first or not, the rows are the same
+    scored = Q.p9_statistics(spark, str(tmp_path)).where(f"running_line_share < {Q.RUNNING_SHARE}")
+    assert {r.doc_id for r in scored.collect()} == {r.doc_id for r in scored.where(T.beyond_reference()).collect()} == wanted
+
+    def unused(*_):
+        raise AssertionError("ranks or scores that decide nothing")
+
+    monkeypatch.setattr(T, "exact_tails", unused)
+    monkeypatch.setattr(T, "outlier_scores", unused)
+    rows = [r.doc_id for r in Q.p9_found(spark, str(tmp_path)).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == wanted
+
+
 def test_queries_run(spark, sf):
     from oracle import connect, rows_of, rows_of_sql
 
